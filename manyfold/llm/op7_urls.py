@@ -62,7 +62,7 @@ class BlockedBloom:
     @staticmethod
     def positions(hashed: int, blocks: int) -> list[tuple[int, int]]:
         block = (hashed & (1 << 63) - 1) % blocks
-        low = hashed & 0xFFFFFFFF
+        low = hashed & 0x7FFFFFFF
         return [(block * WORDS + i, (low * salt & 0xFFFFFFFF) >> 27) for i, salt in enumerate(_SALTS)]
 
     def add(self, key: str) -> None:
@@ -77,10 +77,10 @@ class BlockedBloom:
         hashed = F.xxhash64(key)
         words = F.split(F.lit(",".join(map(str, self.words.tolist()))), ",").cast("array<bigint>")
         block = F.pmod(hashed.bitwiseAND(F.lit((1 << 63) - 1)), F.lit(self.blocks)).cast("int") * WORDS
-        low = hashed.bitwiseAND(F.lit(0xFFFFFFFF))
+        low = hashed.bitwiseAND(F.lit(0x7FFFFFFF))
         test = F.lit(True)
         for i, salt in enumerate(_SALTS):
-            # low * salt may overflow 64 bits, but its lowest 32 bits stay right
+            # 31 bits by 32 bits: no overflow
             bit = F.shiftrightunsigned((low * F.lit(salt)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int")
             word = F.get(words, block + F.lit(i))
             test = test & (F.call_function("shiftright", word, bit).bitwiseAND(F.lit(1)) == 1)
@@ -90,7 +90,7 @@ class BlockedBloom:
 def bloom_of(listed: DataFrame, most: int = BLOOM_BLOCKS) -> BlockedBloom:
     """The filter over ``listed.entry``; entries stream to the driver, which holds only the filter's bounded words."""
     rows = listed.count()
-    bloom = BlockedBloom(int(min(most, max(16, 1 << int(np.ceil(np.log2(max(1, rows) / 8)))))))
+    bloom = BlockedBloom(int(min(most, max(16, 1 << int(np.ceil(np.log2(max(1, rows / 8))))))))
     for (entry,) in listed.select("entry").toLocalIterator():
         bloom.add(entry)
     return bloom

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manyfold.llm import op2_quality, op3_decontaminate, op4_simhash
+from manyfold.llm import op2_quality, op3_decontaminate, op4_simhash, op7_urls, op8_embeddings, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = op7_urls.listing(spark, op7_urls.RULES, "rule").unionByName(op7_urls.listing(spark, op7_urls.LISTED, "listed"))
+    return op7_urls.judge(_table(spark, sf_dir, "pages"), listed)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name != "oracle_sql"}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filters": op7_urls.SQL}
