@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manyfold.llm import op2_quality, op3_decontaminate, op4_simhash, op7_urls, op8_embeddings, op10_licenses
+from manyfold.llm import op1_pii, op2_quality, op3_decontaminate, op4_simhash, op7_urls, op8_embeddings, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pii.digest(op1_pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
