@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manyfold.llm import op1_pii, op2_quality, op3_decontaminate, op4_simhash, op7_urls, op8_embeddings, op10_licenses
+from manyfold.llm import op1_pii, op2_quality, op3_decontaminate, op4_simhash, op5_tokens, op6_html, op7_urls, op8_embeddings, op9_mixing, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_tokens.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = op7_urls.listing(spark, op7_urls.RULES, "rule").unionByName(op7_urls.listing(spark, op7_urls.LISTED, "listed"))
     return op7_urls.judge(_table(spark, sf_dir, "pages"), listed)
@@ -39,6 +47,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return op9_mixing.rates(docs, op9_mixing.labelled_by(_table(spark, sf_dir, "labels"), docs, "lang"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_licenses.scan(_table(spark, sf_dir, "documents"))
 
