@@ -90,9 +90,9 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     A bucket's weight is the domain's log frequency less the mean over domains; a bucket no labelled document has says nothing.
     """
     sample = materialise(labelled.where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED))
-    # at most MAX_LABELLED rows are broadcast
-    texts = docs.select(F.col(id_col).alias("id"), buckets_of(F.col(text_col)).alias("b")).join(F.broadcast(sample), "id")
-    grouped = texts.select("domain", F.explode("b").alias("bucket")).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # at most MAX_LABELLED rows are broadcast; words are cut after the join, of labelled texts only
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    grouped = texts.select("domain", F.explode(buckets_of(F.col("text"))).alias("bucket")).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
     sizes = {r["domain"]: r["k"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("k")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
