@@ -106,7 +106,7 @@ def _(spark, d):
 
 @add("cluster_cascade")
 def _(spark, d):
-    return workflows.cascaded_cluster(seqs(spark, d))
+    return workflows.cascaded_cluster(seqs(spark, d), steps=1)
 
 
 @add("clusterupdate")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from manyfold.catalog import Catalog
 from manyfold.catalog.tables import QUERIES, SEQS, nucl, queries, seqs, table
 from manyfold.operators import alignment, candidates, clustering, graph, profiles
+from manyfold.operators.storage import materialise
 
 catalog = Catalog()
 add = catalog.add
@@ -115,8 +116,10 @@ def _(spark, d):
 
 @add("expandaln")
 def _(spark, d):
-    first = alignment.align(_candidates(spark, d), queries(spark, d), seqs(spark, d))
-    second = alignment.align(_matched(spark, d).where("score >= 5"), seqs(spark, d), seqs(spark, d))
+    first = materialise(alignment.align(_candidates(spark, d), queries(spark, d), seqs(spark, d)))
+    # only what the first step reached is aligned onward
+    reached = first.select(F.col("target").alias("key")).distinct()
+    second = alignment.align(_matched(spark, d).where("score >= 5").join(reached, "key", "left_semi"), seqs(spark, d), seqs(spark, d))
     return alignment.expand_alignments(first, second)
 
 
@@ -236,3 +239,28 @@ def _(spark, d):
     return candidates.match_kmers(nucl(spark, d), 17, 20)
 
 
+
+
+@add("gapped_topn")
+def _(spark, d):
+    return alignment.scan_gapped(queries(spark, d), seqs(spark, d), 0.8)
+
+
+@add("transitivealign")
+def _(spark, d):
+    return alignment.transitive(alignment.align(_candidates(spark, d), queries(spark, d), seqs(spark, d)))
+
+
+@add("lcaalign")
+def _(spark, d):
+    return alignment.align_top_region(_candidates(spark, d), queries(spark, d), seqs(spark, d)).select("key", "target", "score", "qstart", "qend", "cigar")
+
+
+@add("alignbykmer")
+def _(spark, d):
+    return alignment.align_by_kmers(_candidates(spark, d), queries(spark, d), seqs(spark, d), 6)
+
+
+@add("alignall")
+def _(spark, d):
+    return alignment.align_members(_candidates(spark, d), seqs(spark, d)).select("entry", "key", "target", "score", "cigar")

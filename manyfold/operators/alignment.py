@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from manyfold.operators.candidates import encode
+from manyfold.operators.candidates import encode, query_blocks
 
 MATCH, MISMATCH, OPEN, EXTEND = 2, -1, 5, 2
 ROWS = 128
@@ -47,25 +47,31 @@ class Scoring:
 
     def row(self, letter: int, target: np.ndarray) -> np.ndarray:
         if self.matrix is None:
-            return np.where(target == letter, self.match, self.mismatch).astype(np.int64)
+            return np.where(target == letter, self.match, self.mismatch).astype(np.int32)
         known = {ord(b): v for (a, b), v in self.matrix.items() if ord(a) == letter}
-        table = np.full(128, self.mismatch, np.int64)
+        table = np.full(128, self.mismatch, np.int32)
         for code, v in known.items():
             table[code] = v
-        return np.where(target < 128, table[np.minimum(target, 127)], self.mismatch)
+        return np.where(target < 128, table[np.minimum(target, 127)], self.mismatch).astype(np.int32)
 
 
-def _step(s: Scoring, letter: int, target: np.ndarray, above: np.ndarray, down: np.ndarray, ramp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _step(s: Scoring, pairs: np.ndarray, above: np.ndarray, down: np.ndarray, ramp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One row: best scores, scores ending in a gap in the target (down), and in the query (across)."""
     down = np.maximum(above[1:] - s.open, down - s.extend)
-    diagonal = above[:-1] + s.row(letter, target)
-    best = np.maximum(np.maximum(diagonal, down), 0)
+    best = np.zeros_like(above)
+    row = best[1:]
+    np.add(above[:-1], pairs, out=row)
+    np.maximum(row, down, out=row)
+    np.maximum(row, 0, out=row)
     # across[j] = max over k < j of best[k] - open - (j - k - 1) * extend, by a running maximum
-    across = np.full(len(target), LOW, np.int64)
-    if len(target) > 1:
-        across[1:] = np.maximum.accumulate(best[:-1] + ramp[:-1]) - s.open - (ramp[1:] - s.extend)
-    best = np.maximum(best, across)
-    return np.concatenate(([0], best)), down, across
+    across = np.full_like(down, LOW)
+    if len(across) > 1:
+        lead = across[1:]
+        np.add(row[:-1], ramp[:-1], out=lead)
+        np.maximum.accumulate(lead, out=lead)
+        np.subtract(lead, ramp[1:] + (s.open - s.extend), out=lead)
+        np.maximum(row, across, out=row)
+    return best, down, across
 
 
 def smith_waterman(query: np.ndarray, target: np.ndarray, s: Scoring | None = None) -> tuple[int, int, int, int, int, str]:
@@ -77,14 +83,16 @@ def smith_waterman(query: np.ndarray, target: np.ndarray, s: Scoring | None = No
     n, m = len(query), len(target)
     if not n or not m:
         return 0, -1, -1, -1, -1, ""
-    ramp = np.arange(m, dtype=np.int64) * s.extend
-    above, down = np.zeros(m + 1, np.int64), np.full(m, LOW, np.int64)
+    ramp = np.arange(m, dtype=np.int32) * np.int32(s.extend)
+    above, down = np.zeros(m + 1, np.int32), np.full(m, LOW, np.int32)
+    profile = {x: s.row(x, target) for x in np.unique(query).tolist()}
+    letters = query.tolist()
     kept, best, end = {}, 0, (-1, -1)
     every = max(ROWS, int(math.isqrt(n)))
     for i in range(n):
         if i % every == 0:
             kept[i] = (above, down)
-        above, down, _ = _step(s, int(query[i]), target, above, down, ramp)
+        above, down, _ = _step(s, profile[letters[i]], above, down, ramp)
         top = int(above.max())
         if top > best:
             best, end = top, (i, int(above.argmax()) - 1)
@@ -98,7 +106,7 @@ def smith_waterman(query: np.ndarray, target: np.ndarray, s: Scoring | None = No
             above, down = kept[first]
             tops, downs, acrosses = [above], [], []
             for r in range(first, min(first + every, n)):
-                above, down, across = _step(s, int(query[r]), target, above, down, ramp)
+                above, down, across = _step(s, profile[letters[r]], above, down, ramp)
                 tops.append(above)
                 downs.append(down)
                 acrosses.append(across)
@@ -108,7 +116,7 @@ def smith_waterman(query: np.ndarray, target: np.ndarray, s: Scoring | None = No
         if state == "M":
             if here == 0:
                 break
-            pair = int(s.row(int(query[i]), target[j:j + 1])[0])
+            pair = int(profile[letters[i]][j])
             if here == int(tops[r][j]) + pair:
                 path.append("M")
                 if int(tops[r][j]) == 0:
@@ -312,3 +320,167 @@ def forward_backward(query: np.ndarray, target: np.ndarray, s: Scoring | None =
     total = np.logaddexp.reduce(np.append(ahead.ravel(), 0.0))
     with np.errstate(divide="ignore"):
         return np.exp(np.minimum(0.0, ahead + back - np.log(pair) - total))
+
+
+# --- further ways to align
+
+
+def local_scores(query: np.ndarray, target: np.ndarray, s: Scoring) -> int:
+    """Score of the best local alignment with gaps, in memory proportional to the target."""
+    m = len(target)
+    ramp = np.arange(m, dtype=np.int32) * np.int32(s.extend)
+    above, down, best = np.zeros(m + 1, np.int32), np.full(m, LOW, np.int32), 0
+    profile = {x: s.row(x, target) for x in np.unique(query).tolist()}
+    for letter in query.tolist():
+        above, down, _ = _step(s, profile[letter], above, down, ramp)
+        best = max(best, int(above.max()))
+    return best
+
+
+def scan_gapped(queries: DataFrame, targets: DataFrame, least_coverage: float = 0.8, most_evalue: float = 0.001, most: int = 300, scoring: Scoring | None = None) -> DataFrame:
+    """Gapped score and e-value of every query with every target whose length allows the coverage; the best ``most`` each.
+
+    Queries are broadcast in bounded blocks and targets stream past them.
+    """
+    s, spark, found = scoring or Scoring(), targets.sparkSession, None
+    residues = int(targets.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0])
+    for block in query_blocks(queries):
+        scored = _gapped_scorer(spark.sparkContext.broadcast([(k, encode(q)) for k, q in block if q]), s, residues, least_coverage, most_evalue)
+        part = targets.select(F.col("key").alias("target"), F.inline(scored(F.col("seq")))).select("key", "target", "score", "evalue")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "key long, target long, score long, evalue double")
+    order = Window.partitionBy("key").orderBy("evalue", F.desc("score"), "target")
+    return found.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).drop("__rank")
+
+
+def _gapped_scorer(shared, s: Scoring, residues: int, coverage: float, most_evalue: float):
+    @F.arrow_udf("array<struct<key:long,score:long,evalue:double>>")
+    def scored(seqs: pa.Array) -> pa.Array:
+        out = []
+        for seq in seqs.to_pylist():
+            target, rows = encode(seq or ""), []
+            for key, query in shared.value:
+                if len(target) and min(len(query), len(target)) / max(len(query), len(target)) >= coverage:
+                    score = local_scores(query, target, s)
+                    e = evalue(score, len(query), residues)
+                    if score and e <= most_evalue:
+                        rows.append({"key": key, "score": score, "evalue": e})
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct([("key", pa.int64()), ("score", pa.int64()), ("evalue", pa.float64())])))
+
+    return scored
+
+
+def align_members(entries: DataFrame, sequences: DataFrame, **criteria: float) -> DataFrame:
+    """``(entry, key, target, ...)``: every ordered pair of an entry's members ``(key, target)``, itself included, aligned.
+
+    The operator asks for all pairs, so its result is quadratic in an entry; entries are meant to be short result lists.
+    """
+    members = entries.select(F.col("key").alias("entry"), F.col("target").alias("key"))
+    pairs = members.join(members.select("entry", F.col("key").alias("target")), "entry")
+    once = pairs.select("key", "target").distinct().withColumn("score", F.lit(0))
+    return pairs.join(align(once, sequences, sequences, **criteria), ["key", "target"])
+
+
+def transitive(found: DataFrame) -> DataFrame:
+    """Alignments between targets of the same query, composed through it: ``(key, target, via, ..., cigar)``."""
+    back = found.select(F.col("target").alias("key"), F.col("key").alias("target"), F.col("tstart").alias("qstart"), F.col("qstart").alias("tstart"), F.translate("cigar", "ID", "DI").alias("cigar"))
+    return expand_alignments(back, found).where("key != target")
+
+
+def align_top_region(pairs: DataFrame, queries: DataFrame, targets: DataFrame, scoring: Scoring | None = None, most_evalue: float = 0.001) -> DataFrame:
+    """Two passes: the region of each query's best hit is aligned with all candidates; hits as good as the best e-value stay.
+
+    Coordinates are the query's; e-values of the second pass are those of the region.
+    """
+    first = align(pairs, queries, targets, most_evalue, scoring=scoring)
+    top = first.groupBy("key").agg(F.min(F.struct("evalue", (-F.col("score")).alias("s"), "target", "qstart", "qend")).alias("b")).select("key", "b.evalue", "b.qstart", "b.qend")
+    cut = queries.join(top, "key").select("key", F.substring(F.col("seq"), (F.col("qstart") + 1).cast("int"), (F.col("qend") - F.col("qstart") + 1).cast("int")).alias("seq"))
+    again = align(pairs, cut, targets, most_evalue, scoring=scoring)
+    limits = top.select("key", F.greatest("evalue", F.lit(most_evalue)).alias("__most"), F.col("qstart").alias("__at"))
+    shifted = again.join(limits, "key").where(F.col("evalue") <= F.col("__most"))
+    return shifted.withColumns({"qstart": F.col("qstart") + F.col("__at"), "qend": F.col("qend") + F.col("__at")}).drop("__most", "__at")
+
+
+def chain_kmers(query: str, target: str, k: int = 4, gap: int = 3) -> tuple[int, int, int, int, int]:
+    """``(score, qstart, qend, tstart, tend)`` of the best chain of k-mer matches: 2 a letter, ``gap`` for each change of diagonal.
+
+    A query's k-mer counts at its first place; matches alone on their diagonal are left out.
+    """
+    places: dict[str, int] = {}
+    for i in range(len(query) - k + 1):
+        places.setdefault(query[i:i + k], i)
+    by_diagonal: dict[int, list[int]] = {}
+    for j in range(len(target) - k + 1):
+        i = places.get(target[j:j + k])
+        if i is not None:
+            by_diagonal.setdefault(i - j, []).append(j)
+    stretches = []
+    for d, js in by_diagonal.items():
+        if len(js) < 2:
+            continue
+        start = last = js[0]
+        for j in js[1:] + [None]:
+            if j is None or j > last + k:
+                stretches.append((start + d, start, last - start + k))
+                start = j
+            last = j
+    stretches.sort()
+    best: list[tuple[int, int]] = []
+    for n, (q, t, size) in enumerate(stretches):
+        own = max([(2 * size, -1), *((best[p][0] + 2 * size - gap, p) for p in range(n) if stretches[p][0] + stretches[p][2] <= q and stretches[p][1] + stretches[p][2] <= t)])
+        best.append(own)
+    if not best:
+        return 0, -1, -1, -1, -1
+    at = max(range(len(best)), key=lambda n: (best[n][0], -n))
+    score, (q1, t1, size) = best[at][0], stretches[at]
+    while best[at][1] >= 0:
+        at = best[at][1]
+    return score, stretches[at][0], q1 + size - 1, stretches[at][1], t1 + size - 1
+
+
+def align_by_kmers(pairs: DataFrame, queries: DataFrame, targets: DataFrame, k: int = 4, gap: int = 3) -> DataFrame:
+    """``(key, target, score, qstart, qend, tstart, tend)`` by chains of k-mer matches."""
+
+    @F.arrow_udf("struct<score:long,qstart:long,qend:long,tstart:long,tend:long>")
+    def chained(qs: pa.Array, ts: pa.Array) -> pa.Array:
+        names = ("score", "qstart", "qend", "tstart", "tend")
+        rows = [dict(zip(names, chain_kmers(q or "", t or "", k, gap), strict=True)) for q, t in zip(qs.to_pylist(), ts.to_pylist(), strict=True)]
+        return pa.array(rows, pa.struct([(n, pa.int64()) for n in names]))
+
+    texts = pairs.select("key", "target").join(queries.select("key", F.col("seq").alias("__q")), "key").join(targets.select(F.col("key").alias("target"), F.col("seq").alias("__t")), "target")
+    return texts.select("key", "target", chained(F.col("__q"), F.col("__t")).alias("a")).select("key", "target", "a.*").where("score > 0")
+
+
+def posterior_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame, least: float = 0.3, temperature: float = 1.0) -> DataFrame:
+    """``(key, target, matched, confidence)``: number and mean posterior of letter pairs whose chance is at least ``least``."""
+
+    @F.arrow_udf("struct<matched:long,confidence:double>")
+    def judged(qs: pa.Array, ts: pa.Array) -> pa.Array:
+        rows = []
+        for q, t in zip(qs.to_pylist(), ts.to_pylist(), strict=True):
+            chance = forward_backward(encode(q or ""), encode(t or ""), temperature=temperature) if q and t else np.zeros((0, 0))
+            sure = chance[chance >= least]
+            rows.append({"matched": len(sure), "confidence": float(sure.mean()) if len(sure) else 0.0})
+        return pa.array(rows, pa.struct([("matched", pa.int64()), ("confidence", pa.float64())]))
+
+    texts = pairs.select("key", "target").join(queries.select("key", F.col("seq").alias("__q")), "key").join(targets.select(F.col("key").alias("target"), F.col("seq").alias("__t")), "target")
+    return texts.select("key", "target", judged(F.col("__q"), F.col("__t")).alias("a")).select("key", "target", "a.*")
+
+
+def gumbel_lambda(scores: dict[tuple[str, str], float], background: dict[str, float]) -> float:
+    """The lambda for which the expected exp(lambda x score) of letter pairs is 1, by bisection."""
+
+    def excess(x: float) -> float:
+        return sum(background[a] * background[b] * math.exp(x * v) for (a, b), v in scores.items()) - 1
+
+    low, high = 1e-6, 1.0
+    if sum(background[a] * background[b] * v for (a, b), v in scores.items()) >= 0 or max(scores.values()) <= 0:
+        raise ValueError("the expected score must be negative and some score positive")
+    while excess(high) < 0:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
+    return (low + high) / 2

@@ -44,13 +44,17 @@ def centres(chosen: DataFrame) -> DataFrame:
     return chosen.groupBy("kmer").agg(best.alias("b")).select("kmer", F.col("b.k").alias("centre"), (-F.col("b.l")).alias("centre_length"), F.col("b.p").alias("centre_place"))
 
 
-def _best_diagonals(pairs: DataFrame) -> DataFrame:
-    """``(key, target, score, diagonal)``: number of shared k-mers and the diagonal with most of them (ties: the largest)."""
+def _best_diagonals(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """``(key, target, score, diagonal)``: number of shared k-mers and the diagonal with most of them (ties: the largest).
+
+    Pairs without ``least`` of them on that diagonal go.
+    """
     counted = pairs.groupBy("key", "target", "diagonal").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("key", "target").agg(F.sum("n").alias("score"), F.max(F.struct("n", "diagonal"))["diagonal"].alias("diagonal"))
+    best = counted.groupBy("key", "target").agg(F.sum("n").alias("score"), F.max(F.struct("n", "diagonal")).alias("b"))
+    return best.where(F.col("b.n") >= least).select("key", "target", "score", "b.diagonal")
 
 
-def match_kmers(table: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0, share: float = 0.0, mode: int = 0, how: str = "xxhash64") -> DataFrame:
+def match_kmers(table: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0, share: float = 0.0, mode: int = 0, how: str = "xxhash64", least: int = 1) -> DataFrame:
     """Linear-time self-join: every sequence meets only the centre of each of its chosen k-mers.
 
     Returns ``(key, target, score, diagonal)`` with key the centre.  A k-mer that a third of all sequences share costs one
@@ -59,7 +63,7 @@ def match_kmers(table: DataFrame, k: int = 10, per_sequence: int = 21, scale: fl
     chosen = lowest_kmers(table, k, per_sequence, scale, how)
     joined = chosen.join(centres(chosen), "kmer").where("key != centre")
     fits = can_be_covered(share, mode, F.col("centre_length"), F.col("length"))
-    return _best_diagonals(joined.where(fits).select(F.col("centre").alias("key"), F.col("key").alias("target"), (F.col("centre_place") - F.col("place")).alias("diagonal")))
+    return _best_diagonals(joined.where(fits).select(F.col("centre").alias("key"), F.col("key").alias("target"), (F.col("centre_place") - F.col("place")).alias("diagonal")), least)
 
 
 def kmer_index(table: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0, how: str = "xxhash64") -> DataFrame:

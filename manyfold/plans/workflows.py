@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manyfold.functions import sequence
-from manyfold.operators import alignment, candidates, clustering, hierarchy, hits, keyed
+from manyfold.operators import alignment, candidates, clustering, hierarchy, hits, keyed, profiles
 from manyfold.operators.storage import materialise
 
 
@@ -105,7 +105,7 @@ def cascaded_cluster(table: DataFrame, k: int = 12, least_identity: float = 0.8,
     clusters = materialise(linear_cluster(table, k, 21, least_identity, least_coverage, how=how))
     for step in range(steps):
         reps = materialise(table.join(clusters.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"))
-        pairs = candidates.match_kmers(reps, max(6, k - 2 * (step + 1)), 40 * (step + 1), share=least_coverage, how=how)
+        pairs = candidates.match_kmers(reps, max(6, k - 2 * (step + 1)), 40 * (step + 1), share=least_coverage, how=how, least=2)
         # a diagonal has to score before the pair is aligned with gaps
         likely = candidates.rescore_diagonals(pairs, reps, reps).where(F.col("score") >= least_score).select("key", "target", "score")
         aligned = alignment.align(likely, reps, reps, least_identity=least_identity, least_coverage=least_coverage)
@@ -160,3 +160,45 @@ def search_sets(queries: DataFrame, targets: DataFrame, query_sets: DataFrame, t
     own = query_sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
     return hits.combine_sets(best.select(F.col("__q").alias("set_id"), F.col("set_id").alias("target_set"), "log_p"), own, sized.count(), mode)
 
+
+
+def enrich_profiles(queries: DataFrame, targets: DataFrame, background: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """``(key, place, letter, score)``: log odds of each query's hits and the hits of those hits, aligned with gaps."""
+    found = materialise(iterative_search(queries, targets, 2, options))
+    star = materialise(profiles.star_gapped(found, targets).unionByName(profiles.star_ungapped(found, queries).where("key = member")))
+    return profiles.log_odds(profiles.frequencies(star, profiles.weights(star)), background)
+
+
+def pick_consensus(clusters: DataFrame, table: DataFrame, background: DataFrame, k: int = 12, how: str = "xxhash64") -> DataFrame:
+    """``(rep, member)`` with each cluster under the member that scores best against its profile.
+
+    Members are laid on the old representative along their best diagonal; those without a shared k-mer stay where they are.
+    """
+    own = clusters.where("rep != member").select(F.col("rep").alias("key"), F.col("member").alias("target"))
+    words = candidates.lowest_kmers(table.join(clusters.select(F.col("member").alias("key")), "key", "left_semi"), k, 40, how=how)
+    left = own.join(words.select("key", "kmer", F.col("place").alias("p")), "key")
+    shared = left.join(words.select(F.col("key").alias("target"), "kmer", F.col("place").alias("r")), ["target", "kmer"])
+    diagonals = shared.groupBy("key", "target", (F.col("p") - F.col("r")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).groupBy("key", "target").agg(F.max(F.struct("n", "diagonal"))["diagonal"].alias("diagonal"))
+    found = candidates.rescore_diagonals(diagonals, table, table)
+    star = materialise(profiles.star_ungapped(found, table))
+    scores = profiles.log_odds(profiles.frequencies(star, profiles.weights(star)), background)
+    chosen = profiles.pick_representative(profiles.member_scores(star, scores)).select(F.col("key").alias("rep"), F.col("member").alias("__new"))
+    return clusters.join(chosen, "rep", "left").select(F.coalesce("__new", "rep").alias("rep"), "member")
+
+
+def map_accessions(headers: DataFrame, accessions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(key, taxid, rank, name)``: the lowest common ancestor of all accessions in an entry's header, which ``\\x01`` separates.
+
+    accessions: ``(accession, taxid)``.
+    """
+    each = headers.select("key", F.explode(F.split("header", "\x01")).alias("h")).select("key", sequence.accession(F.col("h")).alias("accession"))
+    lined = hierarchy.lineages(nodes, hierarchy.closure(nodes))
+    mapping = accessions.select(F.col("accession").alias("item"), "taxid")
+    return hierarchy.lowest_common_ancestor(each.withColumnRenamed("accession", "target"), mapping, lined, headers, ())
+
+
+def aggregate_contigs(queries: DataFrame, targets: DataFrame, mapping: DataFrame, nodes: DataFrame, least_codons: int = 30, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """``(key, taxid, rank, name, ...)`` per contig: weighted majority of the taxa of its open reading frames' hits."""
+    found = materialise(translated_search(queries, targets, least_codons, options).select("key", "target", "evalue"))
+    lined = hierarchy.lineages(nodes, hierarchy.closure(nodes))
+    return hierarchy.majority_ancestor(found, mapping, lined, weight=hierarchy.vote_weight("minus_log_evalue", F.col("evalue")), keys=queries)

@@ -169,3 +169,24 @@ def msa_to_star(rows: DataFrame, gap_share: float | None = None) -> DataFrame:
         match = spread.groupBy("key", "column").agg(F.avg((F.col("letter") == "-").cast("double")).alias("g")).where(F.col("g") <= gap_share).select("key", "column")
     placed = match.withColumn("place", (F.row_number().over(Window.partitionBy("key").orderBy("column")) - 1).cast("long"))
     return spread.join(placed, ["key", "column"]).select("key", F.col("pos").alias("member"), "place", "letter")
+
+
+def split_msa(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Alignment rows as sequences ``(key, member, name, seq)`` without gaps, and as a star alignment."""
+    return rows.select("key", F.col("pos").alias("member"), "name", F.regexp_replace("row", "-", "").alias("seq")), msa_to_star(rows)
+
+
+def read_hmm(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(key, name, place, letter, share)`` of profile models in the text form with lines of 1000 times minus log2 of shares.
+
+    A model's letters stand in its ``HMM`` line; ``*`` means a share of zero.
+    """
+    models = _keyed(_records(spark, path, "\n//").where(F.col("value").rlike("(?m)^HMM ")))
+    letters = F.split(F.trim(F.regexp_extract("value", r"(?m)^HMM\s+(.*)$", 1)), r"\s+")
+    name = F.trim(F.regexp_extract("value", r"(?m)^NAME\s+(.*)$", 1))
+    body = F.regexp_extract("value", r"(?s)\nHMM [^\n]*\n(.*)$", 1)
+    lines = models.select("key", name.alias("name"), letters.alias("letters"), F.explode(F.regexp_extract_all(body, F.lit(r"(?m)^(?!HMM|NULL)[A-Za-z*-]\s+\d+\s+.*$"), F.lit(0))).alias("line"))
+    parts = F.split(F.trim("line"), r"\s+")
+    values = F.slice(parts, 3, F.size("letters"))
+    rows = lines.select("key", "name", (parts[1].cast("long") - 1).alias("place"), F.explode(F.arrays_zip(F.col("letters").alias("letter"), values.alias("v"))).alias("z"))
+    return rows.select("key", "name", "place", "z.letter", F.when(F.col("z.v") == "*", 0.0).otherwise(F.pow(F.lit(2.0), -F.col("z.v").cast("double") / 1000)).alias("share"))

@@ -140,3 +140,16 @@ def write_tar(table: DataFrame, path: str, name: str, content: str) -> None:
         for row in tar_members(table, name, content).orderBy("key").toLocalIterator():
             out.write(row["value"])
         out.write(b"\0" * 1024)
+
+
+def unpack(table: DataFrame, path: str, name: str = "key", content: str = "seq") -> None:
+    """Every entry in a folder of its own name, as text; entries of a task follow each other, so few files are open at once."""
+    table.select(F.col(name), F.col(content).alias("value")).repartition(name).sortWithinPartitions(name).write.partitionBy(name).text(path)
+
+
+def taxonomy_dump(nodes: DataFrame, path: str) -> None:
+    """A hierarchy as ``nodes`` and ``names`` dump files below ``path``."""
+    end = F.lit("\t|")
+    line = lambda *c: F.concat(F.concat_ws("\t|\t", *[F.col(x).cast("string") if isinstance(x, str) else x for x in c]), end).alias("value")
+    write_text(nodes.select(line("taxid", "parent", "rank")), f"{path}/nodes")
+    write_text(nodes.select(line("taxid", "name", F.lit(""), F.lit("scientific name"))), f"{path}/names")

@@ -193,3 +193,70 @@ def test_star_and_profile(spark):
     gapped = spark.createDataFrame([(1, 3, 0, 7, 0, "2M1I2M1D3M")], "key long, target long, qstart long, qend long, tstart long, cigar string")
     row = {r.member: r.row for r in profiles.msa_rows(profiles.star_gapped(gapped, sequences), sequences).collect()}
     assert row == {3: "AC-CTCGT"}
+
+
+def test_gapped_scan(spark):
+    rows = [(k, s[:50]) for k, s in sequences(spark, 12, 5)]
+    table = spark.createDataFrame([*rows, (900, ""), (901, None)], "key long, seq string")
+    got = {(r.key, r.target): r.score for r in alignment.scan_gapped(table.where("key < 3"), table, 0.8, 1e9, 1000).collect()}
+    s = alignment.Scoring()
+    assert got == {(k, t): plain_score(q, seq, s) for k, q in rows[:3] for t, seq in rows}
+
+
+def test_align_members_and_transitive(spark):
+    base = "".join(random.Random(9).choices(DNA, k=80))
+    table = spark.createDataFrame([(1, base), (2, base[:40] + "T" + base[40:]), (3, base[5:])], "key long, seq string")
+    entries = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "key long, target long")
+    found = {(r.key, r.target): r.cigar for r in alignment.align_members(entries, table).collect()}
+    assert len(found) == 9 and found[1, 2] == "40M1D40M" and found[2, 1] == "40M1I40M"
+    star = alignment.align(spark.createDataFrame([(1, 2, 0), (1, 3, 0)], "key long, target long, score long"), table, table)
+    through = {(r.key, r.target): (r.qstart, r.tstart, r.cigar) for r in alignment.transitive(star).collect()}
+    assert through == {(2, 3): (5, 0, "35M1I40M"), (3, 2): (0, 5, "35M1D40M")}
+    top = alignment.align_top_region(spark.createDataFrame([(1, 3, 0)], "key long, target long, score long"), table, table).first()
+    assert (top.qstart, top.qend, top.cigar) == (5, 79, "75M")
+
+
+def test_chains_and_posteriors(spark):
+    a = "ACGTTGCAACGGATCC"
+    assert alignment.chain_kmers(a, "TT" + a[:8] + "CC" + a[8:])[1:] == (0, 15, 2, 19) and alignment.chain_kmers("AC", a)[0] == 0
+    table = spark.createDataFrame([(1, a), (2, ""), (3, None)], "key long, seq string")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (3, 1)], "key long, target long")
+    got = {(r.key, r.target): r.matched for r in alignment.posterior_pairs(pairs, table, table).collect()}
+    assert got == {(1, 1): len(a), (1, 2): 0, (3, 1): 0}
+    assert {(r.key, r.target) for r in alignment.align_by_kmers(pairs, table, table).collect()} == {(1, 1)}
+
+
+def test_lambda():
+    scores = {(a, b): 1 if a == b else -1 for a in DNA for b in DNA}
+    assert math.isclose(alignment.gumbel_lambda(scores, dict.fromkeys(DNA, 0.25)), math.log(3), rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        alignment.gumbel_lambda({("A", "A"): 1.0}, {"A": 1.0})
+
+
+def test_pick_consensus(spark):
+    good = "".join(random.Random(3).choices(DNA, k=90))
+    rows = [(1, good[:30] + "ACGTACGTAC" + good[40:]), (2, good), (3, good), (4, good), (9, "TTTT")]
+    table = spark.createDataFrame(rows, "key long, seq string")
+    clusters = spark.createDataFrame([(1, k) for k in (1, 2, 3, 4)] + [(9, 9)], "rep long, member long")
+    background = spark.createDataFrame([(c, 0.25) for c in DNA], "letter string, share double")
+    assert {(r.rep, r.member) for r in workflows.pick_consensus(clusters, table, background).collect()} == {(2, k) for k in (1, 2, 3, 4)} | {(9, 9)}
+    enriched = workflows.enrich_profiles(table.where("key = 2"), table.where("key < 9"), background, workflows.SearchOptions(k=8, least_score=20))
+    assert enriched.select("place").distinct().count() == 90
+
+
+def test_map_accessions_and_contigs(spark):
+    nodes = spark.createDataFrame([(1, 1, "no rank", "root"), (2, 1, "genus", "G"), (3, 2, "species", "A"), (4, 2, "species", "B")], "taxid long, parent long, rank string, name string")
+    headers = spark.createDataFrame([(1, "sp|P1|x\x01P2 y"), (2, "P1"), (3, "nothing")], "key long, header string")
+    known = spark.createDataFrame([("P1", 3), ("P2", 4)], "accession string, taxid long")
+    assert {r.key: r.taxid for r in workflows.map_accessions(headers, known, nodes).collect()} == {1: 2, 2: 3, 3: 0}
+    rng = random.Random(4)
+    gene = "ATG" + "".join(rng.choice(["GCT", "TGG", "AAA", "GAT", "CTG", "TTC"]) for _ in range(60)) + "TAA"
+    contigs = spark.createDataFrame([(1, "CC" + gene + "G"), (2, "ACGT")], "key long, seq string")
+    from manyfold.functions.sequence import translate_codons
+
+    proteins = contigs.where("key = 1").select(F.lit(50).cast("long").alias("key"), translate_codons(F.lit(gene[:-3])).alias("seq"))
+    options = workflows.SearchOptions(k=5, least_score=20)
+    found = workflows.translated_search(contigs, proteins, 30, options).first()
+    assert (found.key, found.target, found.qstart, found.qend) == (1, 50, 2, 2 + len(gene) - 4)
+    mapping = spark.createDataFrame([(50, 4)], "item long, taxid long")
+    assert {r.key: r.taxid for r in workflows.aggregate_contigs(contigs, proteins, mapping, nodes, 30, options).collect()} == {1: 4, 2: 0}

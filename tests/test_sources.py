@@ -101,3 +101,19 @@ def test_streaming_clusters(spark, tmp_path):
         query.stop()
     got = {(r.rep, r.member) for r in clusters.members(spark, state).select("rep", F.col("member")).collect()}
     assert got == {(1, 1), (2, 2), (1, 3), (2, 4), (1, 5)}
+
+
+def test_models_and_dumps(spark, tmp_path):
+    (tmp_path / "m.hhm").write_text("HHsearch 1.5\nNAME  fam one\nSEQ\n>x\nAC\n#\nNULL   1000\t1000\nHMM    A\tC\n       M->M\nA 1    0\t*\t1\n       0\t*\nC 2    1000\t1000\t2\n       0\t*\n//\n")
+    got = readers.read_hmm(spark, str(tmp_path / "m.hhm")).orderBy("place", "letter").collect()
+    assert [(r.name, r.place, r.letter, r.share) for r in got] == [("fam one", 0, "A", 1.0), ("fam one", 0, "C", 0.0), ("fam one", 1, "A", 0.5), ("fam one", 1, "C", 0.5)]
+    nodes = spark.createDataFrame([(1, 1, "no rank", "root"), (2, 1, "species", "Bug")], "taxid long, parent long, rank string, name string")
+    writers.taxonomy_dump(nodes, str(tmp_path / "dump"))
+    assert sorted(map(tuple, readers.read_taxonomy(spark, str(tmp_path / "dump/nodes"), str(tmp_path / "dump/names")).collect())) == sorted(map(tuple, nodes.collect()))
+    writers.unpack(spark.createDataFrame([(1, "AC"), (2, "GT")], "key long, seq string"), str(tmp_path / "entries"))
+    assert [p.read_text() for p in (tmp_path / "entries/key=2").glob("part*")] == ["GT\n"]
+    rows = spark.createDataFrame([(0, 1, "q", "A-C"), (0, 2, "m", "AGC")], "key long, pos long, name string, row string")
+    texts, star = readers.split_msa(rows)
+    assert sorted(r.seq for r in texts.collect()) == ["AC", "AGC"] and star.count() == 4
+    lines = writers.pssm_lines(spark.createDataFrame([(1, 0, "A", 5), (1, 0, "C", -2)], "key long, place long, letter string, score int"), "AC").first()
+    assert lines.value == "0\tA\t5\t-2"
