@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable
+from operator import mul
 
 import pyarrow as pa
 import regex
@@ -70,11 +71,14 @@ class Trie:
     def __init__(self, scores: dict[str, float], most: int = MAX_NODES):
         self.scores, self.most = scores, most
         self.longest = max(map(len, scores), default=1)
+        #: Ends of pieces: a text that isn't one ends the search for longer last pieces.
+        self.ends = frozenset(piece[i:] for piece in scores for i in range(len(piece)))
         self.counts: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
+        #: Child of node n by character c, under n * 2 ** 21 + c.
+        self.children: dict[int, int] = {}
         self.best, self.pieces = [0.0], [0]
         self.counts.clear()
 
@@ -88,23 +92,22 @@ class Trie:
         return known
 
     def _insert(self, word: str) -> int:
-        children, best, pieces, scores, longest = self.children, self.best, self.pieces, self.scores, self.longest
+        children, best, pieces, scores, ends, longest = self.children, self.best, self.pieces, self.scores, self.ends, self.longest
         node, path = 0, [0]  # the path's last `longest` nodes would do; words are short and long ones are cut below
-        for i, char in enumerate(word):
-            following = children[node].get(char)
+        for i, char in enumerate(word, 1):
+            step = node << 21 | ord(char)
+            following = children.get(step)
             if following is None:
                 width = len(char.encode("utf-8", "surrogatepass"))
-                last = path[-1]
-                top, number = best[last] + BYTE_SCORE * width, pieces[last] + width
-                # longest last piece first: a later one must be better, not equal
-                for start in range(max(0, i + 1 - longest), i + 1):
-                    score = scores.get(word[start:i + 1])
-                    if score is not None:
-                        before = path[start - i - 1]
-                        if best[before] + score > top:
-                            top, number = best[before] + score, pieces[before] + 1
-                following = children[node][char] = len(best)
-                children.append({})
+                top, number = best[node] + BYTE_SCORE * width, pieces[node] + width
+                for size in range(1, min(i, longest) + 1):
+                    last = word[i - size:i]
+                    if last not in ends:
+                        break
+                    score = scores.get(last)
+                    if score is not None and best[path[-size]] + score >= top:  # of equal ones the longer last piece
+                        top, number = best[path[-size]] + score, pieces[path[-size]] + 1
+                following = children[step] = len(best)
                 best.append(top)
                 pieces.append(number)
             node = following
@@ -113,16 +116,12 @@ class Trie:
                 del path[:-longest]
         return pieces[node]
 
-    def total(self, words: Counter) -> int:
-        return sum(n * self.count(w) for w, n in words.items())
-
 
 def count_batch(trie: Trie, texts: Iterable[str | None]) -> list[tuple[int, int]]:
     """``(pre-tokens, tokens)`` of each text; the batch's distinct pre-tokens enter the trie in order, prefixes together."""
     held = [pre_tokens(t) if t else Counter() for t in texts]
-    for word in sorted(set().union(*held)):
-        trie.count(word)
-    return [(words.total(), trie.total(words)) for words in held]
+    known = {word: trie.count(word) for word in sorted(set().union(*held))}
+    return [(words.total(), sum(map(mul, words.values(), map(known.__getitem__, words)))) for words in held]
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
