@@ -249,3 +249,18 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(
         F.col(id_col), "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated")
     )
+
+
+#: DuckDB SQL for the query's rows: all windows of the documents joined with those of the items.
+SQL = r"""
+with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select item_id, least(len(w), 10) as size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as gram from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from iw where len(w) > 0)),
+grams as (select distinct size, gram from win),
+dg as (select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as gram from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from dw, (select distinct size from grams) where len(w) >= size)),
+found as (select doc_id, i, size, gram from dg semi join grams using (size, gram)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from found) group by 1),
+items as (select doc_id, list(distinct item_id::varchar) as ids from found join win using (size, gram) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(ids), 0)::bigint as n_items, sha256(coalesce(array_to_string(list_sort(ids), ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join hit using (doc_id) left join items using (doc_id)
+"""

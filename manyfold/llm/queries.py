@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": op7_urls.SQL}
+    return {"op3_benchmark_decontamination": op3_decontaminate.SQL, "op7_url_filters": op7_urls.SQL}
