@@ -1,7 +1,7 @@
 """Token counts by trie-shared dynamic programming over a unigram vocabulary.
 
-Texts are cut into pre-tokens (white space, then runs of letters, of digits and of other signs; a pre-token that follows white
-space or starts the text carries the vocabulary's space mark).  The distinct pre-tokens of a batch go into a trie.  Each
+Texts are cut at white space into words, and words into pre-tokens: runs of letters, of digits and of other signs.  A word's
+first pre-token carries the vocabulary's space mark.  The distinct pre-tokens of a batch go into a trie.  Each
 node keeps the best score of any way to spell the characters from the root to it, and the number of pieces of that way;
 both are computed when the node is made, from its ancestors, so a prefix that many words share costs once.  Terminal nodes
 give a word's count, and a text's count is the sum over its pre-tokens.
@@ -34,23 +34,26 @@ SPACE = "▁"
 RANK_SHIFT = 2.7
 BYTE_SCORE = -30.0
 MAX_PIECES = 1_000_000
-MAX_NODES = 500_000
-#: White space before a pre-token is part of it, reduced to the mark.
-PRE_TOKEN = regex.compile(r"\s*+(?:\p{L}[\p{L}\p{M}]*+|\p{N}++|[^\s\p{L}\p{N}]++)")
+MAX_NODES = 1_500_000
+PRE_TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*+|\p{N}++|[^\p{L}\p{N}]++")
+#: Tries that a worker keeps for its next task, by vocabulary.
+_kept: dict[str, Trie] = {}
+
+
+def cut(word: str) -> list[str]:
+    """Pre-tokens of a word without white space, the first one with the mark."""
+    parts = PRE_TOKEN.findall(word)
+    parts[0] = SPACE + parts[0]
+    return parts
 
 
 def pre_tokens(text: str) -> Counter:
     """Distinct pre-tokens of a whole text with their number."""
-    found = Counter(PRE_TOKEN.findall(text))
     out: Counter = Counter()
-    for raw, n in found.items():
-        bare = raw.lstrip()
-        out[SPACE + bare if len(bare) < len(raw) else bare] += n
-    first = PRE_TOKEN.match(text)
-    if first and not first[0][0].isspace():
-        out[first[0]] -= 1
-        out[SPACE + first[0]] += 1
-    return +out
+    for word, n in Counter(text.split()).items():
+        for part in cut(word):
+            out[part] += n
+    return out
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[str, float]:
@@ -119,19 +122,30 @@ class Trie:
 
 def count_batch(trie: Trie, texts: Iterable[str | None]) -> list[tuple[int, int]]:
     """``(pre-tokens, tokens)`` of each text; the batch's distinct pre-tokens enter the trie in order, prefixes together."""
-    held = [pre_tokens(t) if t else Counter() for t in texts]
-    known = {word: trie.count(word) for word in sorted(set().union(*held))}
-    return [(words.total(), sum(map(mul, words.values(), map(known.__getitem__, words)))) for words in held]
+    held = [Counter(t.split()) if t else Counter() for t in texts]
+    parts, tokens = {}, {}
+    for word in sorted(set().union(*held)):
+        own = cut(word)
+        parts[word] = len(own)
+        tokens[word] = sum(map(trie.count, own))
+    return [(sum(map(mul, w.values(), map(parts.__getitem__, w))), sum(map(mul, w.values(), map(tokens.__getitem__, w)))) for w in held]
+
+
+def _trie(vocabulary: str, shared) -> Trie:
+    """The worker's trie; it goes on from task to task, one vocabulary at a time."""
+    if vocabulary not in _kept:
+        _kept.clear()
+        _kept[vocabulary] = Trie(shared.value)
+    return _kept[vocabulary]
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Return ``(<id_col>, n_pretokens, n_tokens)`` for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    kept: dict[int, Trie] = {}
 
     @F.arrow_udf("struct<n_pretokens:long,n_tokens:long>")
     def counted(texts: pa.Array) -> pa.Array:
-        trie = kept.get(0) or kept.setdefault(0, Trie(shared.value))
+        trie = _trie(vocabulary, shared)
         rows: list[tuple[int, int]] = []
         for at in range(0, len(texts), 256):  # bounds the distinct pre-tokens held at once
             rows += count_batch(trie, texts.slice(at, 256).to_pylist())
