@@ -194,10 +194,13 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         substring(__text, cast(element_at(c, -1).stop + 1 as int), length(__text)))"""
     spans = f"array_sort(transform({model.accepted('q')}, x -> named_struct('start', x.start, 'stop', x.stop, 'kind', x.kind)))"
     new = _let("q", _voted("__text"), _let("v", spans, f"case when size(v) = 0 then null else {_let('c', f'case when {overlap} then {merged} else v end', pieces)} end"))
-    out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__new", F.expr(new))
+    # the row travels as one struct, so that no column of its can clash
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(docs[text_col], F.lit("")).alias("__text")).withColumn("__new", F.expr(new))
+    changed = F.col("__new").isNotNull()
+    told = {text_col: F.coalesce(F.col("__new"), F.col("__row")[text_col])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn(text_col, F.coalesce("__new", text_col)).select(*docs.columns)
+        told["n_chars"] = F.when(changed, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
+    return held.select(*[told.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -165,5 +165,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def select_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, columns unchanged."""
     model = train(docs, labels, id_col, text_col)
-    scored = docs.withColumn("_score", score_column(model, F.col(text_col), docs.sparkSession))
-    return scored.where(F.col(f"_score.p_ge_{LEAST_GRADE}") >= LEAST_TAIL).select(*docs.columns)
+    # the row travels as one struct, so that no column of its can clash
+    scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), score_column(model, docs[text_col], docs.sparkSession).alias("s"))
+    return scored.where(F.col(f"s.p_ge_{LEAST_GRADE}") >= LEAST_TAIL).select("row.*")

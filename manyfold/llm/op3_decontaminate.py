@@ -235,12 +235,15 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
 
     if not shared:
         return docs
-    # nondeterministic: else the filter would be pushed below and run the search a second time
-    out = docs.withColumn("_cleaned", cleaned.asNondeterministic()(F.col(text_col))).where("_cleaned is not null")
-    changed = F.coalesce(F.col("_cleaned") != F.col(text_col), F.lit(False))
+    # nondeterministic: else the filter would be pushed below and run the search a second time.  The row travels as one
+    # struct, so that no column of its can clash
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), cleaned.asNondeterministic()(docs[text_col]).alias("cleaned")).where("cleaned is not null")
+    text = F.col("row")[text_col]
+    changed = F.coalesce(F.col("cleaned") != text, F.lit(False))
+    new = {text_col: F.when(changed, F.col("cleaned")).otherwise(text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("_cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn(text_col, F.when(changed, F.col("_cleaned")).otherwise(F.col(text_col))).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

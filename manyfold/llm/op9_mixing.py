@@ -162,27 +162,23 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], total
     return steps
 
 
-def _membership(docs: DataFrame, keep: list[str], text_col: str, model: Classifier) -> DataFrame:
-    """The columns ``keep`` and ``__m`` (tokens, p) in the shared folder; rounds read that column alone."""
-    bound = F.transform(F.array(buckets_of(F.col(text_col))), lambda b: F.struct(F.size(b).cast("long").alias("tokens"), model.posteriors(b).alias("p")))
-    return materialise(docs.select(*keep, F.get(bound, F.lit(0)).alias("__m")))
-
-
 def _rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str, text_col: str, total: float | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and a struct ``__r`` of n_tokens, domain, p_domain, rate and copies."""
+    """Two structs: ``row``, the columns ``keep`` of ``docs``, and ``r``: n_tokens, domain, p_domain, rate and copies."""
     model = fit(docs, labelled, id_col, text_col)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    # as one struct no column of the row can clash with those added
+    held = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    place = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     if not model.domains:
-        words = F.size(buckets_of(F.col(text_col))).cast("long").alias("n_tokens")
-        plain = F.struct(words, F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
-        return docs.select(*keep, plain.alias("__r"))
-    table = _membership(docs, list(dict.fromkeys([*keep, id_col])), text_col, model)
-    steps = solve(table.select("__m.tokens", "__m.p"), model.domains, targets, total)
-    rate = _rate(F.col("__m.p"), steps)["r"]
-    best = F.array_max(F.transform("__m.p", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
-    found = table.withColumn("__b", best).withColumn("__rate", rate)
-    told = F.struct(F.col("__m.tokens").alias("n_tokens"), F.get(F.array(*map(F.lit, model.domains)), -F.col("__b.i")).alias("domain"), F.col("__b.p").alias("p_domain"), F.col("__rate").alias("rate"), F.floor(F.col("__rate") + place).cast("long").alias("copies"))
-    return found.select(*keep, told.alias("__r"))
+        words = F.size(buckets_of(F.col("text"))).cast("long").alias("n_tokens")
+        return held.select("row", F.struct(words, F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")).alias("r"))
+    bound = F.transform(F.array(buckets_of(F.col("text"))), lambda b: F.struct(F.size(b).cast("long").alias("tokens"), model.posteriors(b).alias("p")))
+    # kept in the shared folder; the rounds read memberships alone
+    table = materialise(held.select("row", "id", F.get(bound, F.lit(0)).alias("m")).select("row", "id", "m.tokens", "m.p"))
+    steps = solve(table.select("tokens", "p"), model.domains, targets, total)
+    best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
+    found = table.withColumn("b", best).withColumn("rate", _rate(F.col("p"), steps)["r"])
+    told = F.struct(F.col("tokens").alias("n_tokens"), F.get(F.array(*map(F.lit, model.domains)), -F.col("b.i")).alias("domain"), F.col("b.p").alias("p_domain"), "rate", F.floor(F.col("rate") + place).cast("long").alias("copies"))
+    return found.select("row", told.alias("r"))
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", total: float | None = None) -> DataFrame:
@@ -191,7 +187,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     domain and p_domain: the likeliest domain and its posterior (null without labels).  copies: the rate rounded up or down
     by a hash of the id, so that its mean over documents is the rate.
     """
-    return _rated(docs, labelled, targets, id_col, text_col, total, [id_col]).select(id_col, "__r.*")
+    return _rated(docs, labelled, targets, id_col, text_col, total, [id_col]).select("row.*", "r.*")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", total: float | None = None) -> DataFrame:
@@ -200,4 +196,4 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     A document with rate zero goes; with the default total no rate of a listed domain's document falls to zero.
     """
     rated = _rated(docs, labelled, targets, id_col, text_col, total, docs.columns)
-    return rated.where("__r.rate > 0").select(*docs.columns, F.col("__r.rate").alias("mix_rate"), F.col("__r.copies").alias("mix_copies"))
+    return rated.where("r.rate > 0").select("row.*", F.col("r.rate").alias("mix_rate"), F.col("r.copies").alias("mix_copies"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from manyfold.llm import op9_mixing as op
 
-SCHEMA = "doc_id long, text string, topic string, p string, tokens string"
+SCHEMA = "doc_id long, text string, topic string, p string, row string"
 WORDS = {"x": [f"x{i}" for i in range(40)], "y": [f"y{i}" for i in range(40)], "z": [f"z{i}" for i in range(40)]}
 
 
