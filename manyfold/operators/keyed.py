@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyfold.functions.expressions import compile_expression
+from manyfold.operators.storage import materialise
 
 COMPARISONS = ("ge", "le", "e")
 
@@ -142,11 +143,12 @@ def concat(first: DataFrame, second: DataFrame, preserve: bool = False, column:
 def dense_ranks(distinct: DataFrame, column: str, into: str) -> DataFrame:
     """Distinct values with their rank from 1, without a window over the whole table.
 
-    Values are cut into ranges; counts of the ranges (one number each) give every range its offset.
+    Values are cut into ranges; counts of the ranges (one number each) give every range its offset.  The ranges come from a
+    sample, which another run would draw anew, so they are written down before they are counted.
     """
     spark = distinct.sparkSession
     ranged = distinct.select(column).repartitionByRange(F.col(column)).sortWithinPartitions(column)
-    kept = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    kept = materialise(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     sizes = {r["__part"]: r["n"] for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], 0
     for part in sorted(sizes):
@@ -166,11 +168,12 @@ def concat_larger(first: DataFrame, second: DataFrame, payload: str, column: str
 def split(table: DataFrame, parts: int, weight: str | None = None, column: str = "key") -> DataFrame:
     """Add ``part`` (0 .. parts - 1): contiguous ranges of keys with equal numbers of entries, or equal sums of ``weight``.
 
-    Sums run over ranges: each range sums its own weights, and the few range totals give the offsets.
+    Sums run over ranges: each range sums its own weights, and the few range totals give the offsets.  The ranges come from
+    a sample, so they are written down before they are summed.
     """
     spark = table.sparkSession
     amount = F.lit(1).cast("double") if weight is None else F.col(weight).cast("double")
-    ranged = table.select(column, amount.alias("__w")).repartitionByRange(F.col(column)).withColumn("__range", F.spark_partition_id())
+    ranged = materialise(table.select(column, amount.alias("__w")).repartitionByRange(F.col(column)).withColumn("__range", F.spark_partition_id()))
     local = ranged.withColumn("__sum", F.sum("__w").over(Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     sums = {r["__range"]: r["s"] for r in local.groupBy("__range").agg(F.sum("__w").alias("s")).collect()}
     offsets, total = [], 0.0

@@ -92,6 +92,21 @@ def test_empty_tables(spark):
         assert found.count() == 0
 
 
+def test_ranks_and_parts_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.range(40_000).select((F.col("id") * 7919 % 40_009 * 3).alias("key"), (F.col("id") % 5 + 1).alias("w")).repartition(7)
+        ranks = keyed.dense_ranks(table.select("key"), "key", "rank").orderBy("key").collect()
+        parts = keyed.split(table, 6, "w").orderBy("key").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["rank"] for r in ranks] == list(range(1, 40_001))
+    total, upto = sum(r.w for r in parts), 0
+    for r in parts:
+        assert r.part == min(5, upto * 6 // total)
+        upto += r.w
+
+
 def test_unknown_modes(spark):
     table = spark.createDataFrame([(1, 1, 2.0)], "key long, pos long, score double")
     with pytest.raises(ValueError):
