@@ -114,3 +114,29 @@ def test_unknown_modes(spark):
     with pytest.raises(ValueError):
         keyed.beats_first(table, "score", "xx")
     assert keyed.compare(table, "score", "xx", 1.0).count() == 1
+
+
+def test_domains_match_a_plain_fold(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):
+        for p in range(rng.randint(1, 12)):
+            a, b = rng.randrange(100), rng.randrange(100)
+            rows.append((k, p + 1, p, a, b, 100, 0, rng.randrange(60), 60, rng.random()))
+    table = spark.createDataFrame(rows, "key long, pos long, target long, qstart long, qend long, qlen long, tstart long, tend long, tlen long, evalue double")
+    for overlap, coverage, most in ((0.2, 0.3, None), (0.0, 0.1, 0.7)):
+        want = set()
+        for k in range(30):
+            covered = set()
+            own = [r for r in rows if r[0] == k]
+            if most is not None:
+                own = sorted((r for r in own if r[9] < most), key=lambda r: (r[9], r[1]))
+            for r in own:
+                share = (r[7] + 1) / 60
+                if share < coverage or most is not None and share == coverage:
+                    continue
+                low, high = min(r[3:5]), max(r[3:5])
+                if len(covered & set(range(low, high))) / (high - low + 1) <= overlap:
+                    covered |= set(range(low, high))
+                    want.add((k, r[1]))
+        assert {(r.key, r.pos) for r in hits.pick_domains(table, overlap, coverage, most).collect()} == want

@@ -260,3 +260,27 @@ def test_map_accessions_and_contigs(spark):
     assert (found.key, found.target, found.qstart, found.qend) == (1, 50, 2, 2 + len(gene) - 4)
     mapping = spark.createDataFrame([(50, 4)], "item long, taxid long")
     assert {r.key: r.taxid for r in workflows.aggregate_contigs(contigs, proteins, mapping, nodes, 30, options).collect()} == {1: 4, 2: 0}
+
+
+def test_filter_members(spark):
+    key = "ACGTACGTAC"
+    rows = [(1, 1, key), (1, 2, key[:6]), (1, 3, key[:6]), (1, 4, "TTTTTTTTTT"), (1, 5, key[:2])]
+    star = spark.createDataFrame([(k, m, p, c) for k, m, seq in rows for p, c in enumerate(seq)], "key long, member long, place long, letter string")
+    got = {r.member: (round(r.coverage, 2), round(r.identity, 2)) for r in profiles.filter_members(star, 0.5, 0.5).collect()}
+    assert got == {1: (1.0, 1.0), 2: (0.6, 1.0)}  # 3 repeats 2, 4 differs, 5 is short
+
+
+def test_cover_sets(spark):
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b"), (6, "c"), (7, "d")], "key long, set_id string")
+    clusters = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (1, 4), (2, 5), (6, 6), (7, 7)], "rep long, member long")
+    got = {(r.rep, r.member): (r.shared, r.share) for r in clustering.cover_sets(members, clusters, 0.5).collect()}
+    assert got == {("a", "a"): (3, 1.0), ("a", "b"): (2, 1.0), ("c", "c"): (1, 1.0), ("d", "d"): (1, 1.0)}
+
+
+def test_similar_words_find_what_equal_ones_miss(spark):
+    base = "".join(random.Random(5).choices("ABCDEFGHIJ", k=60))
+    other = "".join("K" if i % 6 == 5 else c for i, c in enumerate(base))
+    table = spark.createDataFrame([(1, base)], "key long, seq string"), spark.createDataFrame([(2, other)], "key long, seq string")
+    assert candidates.match_diagonals(*table, k=6).isEmpty()
+    found = candidates.match_diagonals(*table, k=6, alphabet="ABCDEFGHIJK").first()
+    assert (found.key, found.target, found.diagonal, found.score) == (1, 2, 0, 50 * 2 - 9)  # the last letter differs and is left off
