@@ -219,3 +219,13 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     alone = rows.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+#: DuckDB SQL for the query's rows: all pairs of a label, and labels handed on along links until nothing changes.
+SQL = """
+with recursive sound as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as src, b.vec_id as dst from sound a join sound b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as node, vec_id as root from embeddings union select l.dst, r.root from reach r join links l on l.src = r.node),
+least as (select node, min(root) as component_id from reach group by 1)
+select v.vec_id, (select count(*) from links where src = v.vec_id) as n_links, component_id, v.vec_id = component_id as kept from embeddings v join least on node = v.vec_id
+"""
