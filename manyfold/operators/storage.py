@@ -7,6 +7,8 @@ nothing is ever written to a machine's own temporary folder unless the setting i
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
-        base = _fallback.setdefault(app, "file://" + tempfile.mkdtemp(prefix="manyfold-"))
+        if app not in _fallback:
+            own = tempfile.mkdtemp(prefix="manyfold-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _fallback[app] = f"file://{own}"
+        base = _fallback[app]
     return f"{base.rstrip('/')}/manyfold-{app}"
 
 
