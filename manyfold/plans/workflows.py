@@ -100,12 +100,12 @@ def linear_cluster(table: DataFrame, k: int = 12, per_sequence: int = 21, least_
     return clustering.merge_clusters(same, chosen)
 
 
-def cascaded_cluster(table: DataFrame, k: int = 12, least_identity: float = 0.8, least_coverage: float = 0.8, steps: int = 2, least_score: int = 40, how: str = "xxhash64") -> DataFrame:
+def cascaded_cluster(table: DataFrame, k: int = 12, least_identity: float = 0.8, least_coverage: float = 0.8, steps: int = 3, least_score: int = 40, how: str = "xxhash64") -> DataFrame:
     """``(rep, member)``: a linear step, then searches among its representatives with gapped alignment, merged."""
     clusters = materialise(linear_cluster(table, k, 21, least_identity, least_coverage, how=how))
     for step in range(steps):
         reps = materialise(table.join(clusters.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"))
-        pairs = candidates.match_kmers(reps, max(6, k - 2 * (step + 1)), 40 * (step + 1), share=least_coverage, how=how, least=2)
+        pairs = candidates.match_kmers(reps, max(6, k - 2 * (step + 1)), 40 * (step + 1), share=least_coverage, how=how)
         # a diagonal has to score before the pair is aligned with gaps
         likely = candidates.rescore_diagonals(pairs, reps, reps).where(F.col("score") >= least_score).select("key", "target", "score")
         aligned = alignment.align(likely, reps, reps, least_identity=least_identity, least_coverage=least_coverage)

@@ -284,3 +284,19 @@ def test_similar_words_find_what_equal_ones_miss(spark):
     assert candidates.match_diagonals(*table, k=6).isEmpty()
     found = candidates.match_diagonals(*table, k=6, alphabet="ABCDEFGHIJK").first()
     assert (found.key, found.target, found.diagonal, found.score) == (1, 2, 0, 50 * 2 - 9)  # the last letter differs and is left off
+
+
+def test_cluster_cascade_reaches_its_last_step(spark, tmp_path):
+    """Two sequences share one word of six letters and no longer one: the last pass alone proposes them, by a single match."""
+    from manyfold.catalog import reports
+
+    rng = random.Random(11)
+    one = [rng.choice("abcdefghijklmnopqrst") for _ in range(120)]
+    two = list(one)
+    for at in (*range(5, 54, 6), *range(60, 120, 6)):
+        two[at] = "z"
+    assert max(map(len, "".join(a if a == b else " " for a, b in zip(one, two, strict=True)).split())) == 6
+    other = [rng.choice("abcdefghijklmnopqrst") for _ in range(120)]
+    spark.createDataFrame([(1, "".join(one)), (2, "".join(two)), (3, "".join(other))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.member: r.rep for r in reports.catalog.queries["cluster_cascade"](spark, str(tmp_path)).collect()}
+    assert found[1] == found[2] != found[3]
