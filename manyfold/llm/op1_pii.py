@@ -32,7 +32,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,64}+(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z0-9-]{1,64}+){1,5}+"
-SECRET = r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)[\x20\x22]{0,3}[=:][\x20\x22]{0,3}[A-Za-z0-9+/_.-]{16,200}+"
+SECRET = r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)[\x20\x22]{0,3}[=:][\x20\x22]{0,3}[A-Za-z0-9+/_.-]{16,}+"
 #: (kind, pattern, gate: a text without it is not searched, whether matches are base spans)
 SOURCES = (("email", EMAIL, "contains({t}, '@')", True), ("ip", IP, "true", True), ("card", CARD, "true", True), ("phone", PHONE, "contains({t}, '+')", True), ("email", SPELLED, "contains({t}, '(') or contains({t}, '[')", False), ("secret", SECRET, "contains({t}, '=') or contains({t}, ':')", False))
 LABELERS = ("value", "gazetteer", "context", "border", "shape", "repeat")
@@ -66,7 +66,7 @@ def _candidates(text: str) -> str:
     empty = "cast(array() as array<struct<kind:string,base:boolean,start:bigint,stop:bigint,body:string,l:string,r:string,whole:string>>)"
     parts = []
     for kind, pattern, gate, base in SOURCES:
-        value = "regexp_extract(f, '[A-Za-z0-9+/_.-]{16,200}+$', 0)" if kind == "secret" else "f"
+        value = "regexp_extract(f, '[A-Za-z0-9+/_.-]{16,}+$', 0)" if kind == "secret" else "f"
         each = f"""transform(m, (f, k) -> named_struct('kind', '{kind}', 'base', {str(base).lower()}, 'start', s[k] - length({value}), 'stop', s[k],
             'body', {value}, 'l', lower(right(p[k], 40)), 'r', left(p[k + 1], 1), 'whole', f))"""
         located = _let("p", f"split({text}, r'{pattern}', -1)", _stops(each))

@@ -89,3 +89,12 @@ def test_fit_finds_the_bad_labeler():
 
 def test_empty(spark):
     assert op.digest(op.find(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_long_secret_is_one_span(spark):
+    secret = "aB3dE5gH7k" * 100
+    text = f"see token={secret} there"
+    docs = spark.createDataFrame([(1, text, "", "", "", len(text))], SCHEMA)
+    (got,) = op.voted(docs.select("text")).collect()
+    assert [(c.kind, c.start, c.stop) for c in got.candidates if c.kind == "secret"] == [("secret", 10, 1010)]
+    assert secret[-50:] not in op.redact(docs).collect()[0].text
