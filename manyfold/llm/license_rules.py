@@ -88,7 +88,7 @@ fdl-1.1 | 1 | gnu | gnu free documentation license version 1 1
 fdl | 3 | gnu | gnu free documentation license
 fdl | 3 | gfdl | gfdl
 mpl-2 | 1 | mozilla | mozilla public license (?:version|v) ?2(?: 0)?
-mpl-2 | 1 | mpl | source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2 | 1 | mozilla | source code form is subject to the terms of the mozilla public license v 2 0
 mpl-2 | 2 | mpl | mpl (?:version |v)?2(?: 0)?
 mpl-2 | 3 | identifier | spdx license identifier mpl 2 0
 mpl-1.1 | 1 | mozilla | mozilla public license (?:version|v) ?1 1
@@ -155,7 +155,7 @@ creative-commons | 3 | creative | creative commons license
 odbl | 1 | database | open database license(?: version)?(?: v?1 0)?
 odbl | 3 | odbl | odbl(?: 1 0)?
 odc-by | 1 | commons | open data commons attribution license(?: v?1 0)?
-pddl | 1 | commons | (?:open data commons )?public domain dedication and licen[cs]e
+pddl | 1 | dedication | (?:open data commons )?public domain dedication and licen[cs]e
 ogl-3 | 1 | government | open government licen[cs]e v?3 0
 ogl | 2 | government | open government licen[cs]e
 cdla-permissive | 1 | community | community data license agreement permissive(?: version)?(?: [12] 0)?
@@ -205,7 +205,7 @@ commons-clause | 1 | clause | commons clause(?: license condition)?
 polyform-nc | 1 | polyform | polyform noncommercial license(?: 1 0 0)?
 polyform-sb | 1 | polyform | polyform small business license(?: 1 0 0)?
 polyform | 3 | polyform | polyform
-rail | 1 | responsible | (?:creativeml )?open rail [ms] license
+rail | 1 | rail | (?:creativeml )?open rail [ms] license
 rail | 2 | responsible | responsible ai license
 openrail | 2 | openrail | (?:bigscience |creativeml )?openrail(?: m)?
 hippocratic | 1 | hippocratic | hippocratic license(?: version)?(?: [123] [01])?
@@ -221,9 +221,12 @@ proprietary | 1 | rights | all rights reserved
 proprietary | 1 | confidential | (?:proprietary and confidential|confidential and proprietary)
 proprietary | 2 | unauthorized | unauthorized (?:copying|use|distribution|reproduction) .{0,60}(?:is )?(?:strictly )?prohibited
 proprietary | 2 | permission | (?:no part of this|may not be reproduced) .{0,80}without (?:the )?(?:prior )?written permission
-non-commercial | 2 | commercial | for non ?commercial (?:use|purposes)(?: only)?
+non-commercial | 2 | commercial | for non commercial (?:use|purposes)(?: only)?
+non-commercial | 2 | noncommercial | for noncommercial (?:use|purposes)(?: only)?
 personal-use | 2 | personal | for personal use only
-academic-use | 2 | academic | for (?:academic|research|educational) (?:use|purposes) only
+academic-use | 2 | academic | for academic (?:use|purposes) only
+academic-use | 2 | research | for research (?:use|purposes) only
+academic-use | 2 | educational | for educational (?:use|purposes) only
 no-derivatives | 3 | derivative | no derivative works
 share-alike | 3 | alike | share alike license
 terms-of-use | 3 | terms | subject to (?:the|these|our) terms (?:of use|of service|and conditions)

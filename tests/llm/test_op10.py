@@ -61,3 +61,36 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert op.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def shortest(parsed):
+    """Texts that an expression matches when what is optional stays away, one for each choice of the rest."""
+    out = [""]
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            parts = [chr(value)]
+        elif name == "ANY":
+            parts = ["x"]
+        elif name == "IN":
+            parts = [chr(v if str(k) == "LITERAL" else v[0]) if str(k) in ("LITERAL", "RANGE") else "0" for k, v in value]
+        elif name == "SUBPATTERN":
+            parts = shortest(value[-1])
+        elif name == "BRANCH":
+            parts = [t for branch in value[1] for t in shortest(branch)]
+        else:
+            assert name.endswith("REPEAT"), name
+            parts = [t * value[0] for t in shortest(value[2])] if value[0] else [""]
+        out = [a + b for a in out for b in dict.fromkeys(parts)]
+    return out
+
+
+def test_every_match_holds_its_keyword():
+    bad = [(label, k, t) for label, _, k, e in RULES for t in shortest(re._parser.parse(e)) if f" {k} " not in f" {t} "]
+    assert not bad
+
+
+def test_rules_whose_keyword_was_optional(spark):
+    docs = spark.createDataFrame([(1, "CreativeML Open RAIL-M License", "", "", ""), (2, "Public Domain Dedication and License", "", "", "")], SCHEMA)
+    got = {r[0]: r[6] for r in op.scan(docs).collect()}
+    assert "rail" in got[1].split(",") and "pddl" in got[2].split(",")
