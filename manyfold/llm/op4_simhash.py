@@ -1,21 +1,23 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 64 bits, cut into two segments of 32.  For each segment the Hamming ball of radius 1 around the
-segment's value is enumerated (33 values), and a table entry is addressed by the ball value *together with* the rest of
-the fingerprint.  Two fingerprints differ in at most two bits exactly when they share such an address: one differing
-bit makes one the other's ball member, two differing bits meet at the fingerprint half-way between them.  So
+A fingerprint has 64 bits, cut into two segments of 32.  Fingerprints that differ in at most two bits differ in at most one
+bit of some segment.  So there is a table per segment, keyed by the segment's value, and every distinct fingerprint
+enumerates the Hamming ball of radius 1 around each of its values, fetches the table's entries and keeps those whose complete
+distance is at most two.  Of two values one bit apart only the one with a zero there asks for the other, which halves the
+enumeration without losing a pair.
 
-* no pair is missed at radius 2, and every fetched match is verified by its complete distance all the same;
-* an address has at most 65 distinct fingerprints, however many documents a group of copies holds.  The textbook
-  address (a segment's value alone) puts a third of the corpus into one bucket when one group of near copies has a third
-  of the rows, and would have to compare all pairs there.
+A value that more than ``HOT`` fingerprints share (a large group of near copies) is not compared within itself: its entries are
+addressed a second time, by the ball of radius 1 around their *other* segment, and those that ask for the value come with
+their other segment as it is.  All that meet at such a double address are links (two entries differ in at most two bits of the
+other segment; an asker differs by one bit in each), it has at most 33 entries and 32 askers, and a star to its smallest
+entry keeps what is connected.  Nothing is dropped, and no group is ever paired with itself.
 
-Each address links its members to the smallest one (a star, never all pairs), and components come from star rounds.
+Links are between fingerprints; ids come in at the end, as the smallest id of each component's rows.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
-repeated ids are kept as rows of their own; rows with a null id keep their fingerprint and join their component but
-never name it (a component of null ids only has a null id); an empty table gives an empty result; other columns are
-ignored.
+repeated ids are rows of their own, judged by their own text; rows with a null id keep their fingerprint and join their
+component but never name it (a component of null ids only has a null id); an empty table gives an empty result; other
+columns are ignored, whatever their names, by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyfold.operators.graph import connected_components
 from manyfold.operators.storage import materialise
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-RADIUS, BITS, SEGMENTS = 2, 64, 2
+RADIUS, BITS, WIDTH = 2, 64, 32
+#: Fingerprints that may share a segment's value before they are addressed by both segments.
+HOT = 32
 #: Hashes whose bits are counted at once: bounds memory for very long texts.
 CHUNK = 1 << 15
 
@@ -65,24 +69,54 @@ def fingerprint_column(text, shingle: int = 3):
     return simhash(text)
 
 
-def _addresses(fingerprint):
-    """Addresses of a fingerprint: itself and the radius-1 ball of each segment, the other segment unchanged."""
-    width = BITS // SEGMENTS
-    one = F.lit(1).cast("long")
-    balls = [F.transform(F.array(*map(F.lit, range(s * width, (s + 1) * width))), lambda i: fingerprint.bitwiseXOR(F.call_function("shiftleft", one, i))) for s in range(SEGMENTS)]
-    return F.concat(F.array(fingerprint), *balls)
+def _tables(fp: Column) -> Column:
+    """A fingerprint's entries in the two tables: structs of the place (the table's number above the value) and the other value."""
+    low, high = fp.bitwiseAND(F.lit((1 << WIDTH) - 1)), F.shiftrightunsigned(fp, WIDTH)
+    return F.array(F.struct(low.alias("place"), high.alias("rest")), F.struct(high.bitwiseOR(F.lit(1 << WIDTH)).alias("place"), low.alias("rest")))
+
+
+def _turned(value: Column, bits: Column) -> Column:
+    """``value`` with each of ``bits`` turned, one at a time."""
+    return F.transform(bits, lambda i: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+
+
+def _bits() -> Column:
+    return F.array(*map(F.lit, range(WIDTH)))
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Links ``(src, dst)`` between class representatives within ``RADIUS`` bits, as stars that keep connectivity.
+    """Links ``(src, dst)`` between distinct fingerprints within ``RADIUS`` bits; a hot value's links are stars that keep connectivity.
 
-    classes: one row ``(fp, rep)`` for each distinct fingerprint.
+    classes: one row ``(fp)`` for each distinct fingerprint.
     """
-    entries = classes.select("fp", "rep", F.explode(_addresses(F.col("fp"))).alias("address"))
-    hub = F.min(F.struct("rep", "fp")).over(Window.partitionBy("address"))
-    matches = entries.select("fp", "rep", hub.alias("hub")).where("rep != hub.rep")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= RADIUS
-    return matches.where(near).select(F.col("rep").alias("src"), F.col("hub.rep").alias("dst"))
+    entries = classes.select("fp", F.inline(_tables(F.col("fp"))))
+    zero = F.filter(_bits(), lambda i: F.call_function("getbit", F.col("place"), i) == 0)
+    asking = entries.select("fp", "rest", F.explode(_turned(F.col("place"), zero)).alias("place"))
+    hot = materialise(entries.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("place"))
+
+    cold = entries.join(hot, "place", "left_anti").select("place", F.col("fp").alias("dst"))
+    asked = entries.select("place", F.col("fp").alias("src")).unionByName(asking.select("place", F.col("fp").alias("src")))
+    fetched = asked.join(cold, "place").where("src != dst")
+    near = fetched.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS).select("src", "dst")
+
+    ball = F.concat(F.array("rest"), _turned(F.col("rest"), _bits()))
+    crowd = entries.join(hot, "place", "left_semi").select("place", "fp", F.explode(ball).alias("rest"), F.lit(True).alias("held"))
+    askers = asking.join(hot, "place", "left_semi").select("place", "fp", "rest", F.lit(False).alias("held"))
+    # at most 65 rows meet at a place and rest
+    hub = F.min(F.when(F.col("held"), F.col("fp"))).over(Window.partitionBy("place", "rest"))
+    starred = crowd.unionByName(askers).select(F.col("fp").alias("src"), hub.alias("dst")).where("src != dst")
+    return near.unionByName(starred.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: list[str]) -> DataFrame:
+    """``(row, id, fp, component_id)``: row holds the columns ``keep`` as one struct, so that none of them can clash."""
+    held = F.struct(*[docs[c] for c in keep]) if keep else F.lit(None).cast("boolean")
+    rows = materialise(docs.select(held.alias("row"), docs[id_col].alias("id"), fingerprint_column(docs[text_col], shingle).alias("fp")))
+    classes = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    parts = connected_components(links(classes.select("fp")))
+    rooted = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return rows.join(named, "fp").select("row", "id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -90,20 +124,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are read once; fingerprints are kept in the shared folder, since three later steps use them.
     """
-    picked = docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp"))
-    rows = materialise(picked)
-    classes = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    parts = connected_components(links(classes.where("rep is not null")))
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _components(docs, id_col, text_col, shingle, [])
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` without near copies: of each component the document with the smallest id stays, columns unchanged.
+    """``docs`` without near copies: of each component the rows with the smallest id stay, columns unchanged.
 
-    Of rows that repeat the same id, all stay if that id names the component; a row with a null id stays.
+    Rows of a component that repeat the naming id all stay; a row with a null id stays.
     """
-    parts = near_duplicates(docs, id_col, text_col, shingle)
-    gone = parts.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = _components(docs, id_col, text_col, shingle, docs.columns)
+    return found.where("id is null or id = component_id").select("row.*")
