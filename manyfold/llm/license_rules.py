@@ -2,7 +2,8 @@
 
 Each line: label | priority (1 wins over 2 wins over 3) | keyword that a text must hold | regular expression over lower-case
 words with single blanks.  Priority 1: a titled licence with its version or a sentence of its text; 2: a name; 3: an
-identifier or a reference that says less.
+identifier or a reference that says less.  A gap's bound, as in ``.{0,60}``, is part of the rule's text: phrases further apart are
+no such signature.
 """
 
 from __future__ import annotations
@@ -122,7 +123,7 @@ boost-1 | 3 | identifier | spdx license identifier bsl 1 0
 boost | 3 | boost | boost software license
 unlicense | 1 | unencumbered | this is free and unencumbered software released into the public domain
 unlicense | 2 | unlicense | (?:the )?unlicense
-wtfpl | 1 | want | do what the .{1,8} you want to public license(?: version 2)?
+wtfpl | 1 | want | do what the [^ ]+ you want to public license(?: version 2)?
 wtfpl | 3 | wtfpl | wtfpl
 cc0 | 1 | cc0 | cc0 1 0 universal(?: public domain dedication)?
 cc0 | 2 | cc0 | (?:creative commons )?cc0(?: 1 0)?

@@ -31,7 +31,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,64}+(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z0-9-]{1,64}+){1,5}+"
+SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z0-9-]++)++"
 SECRET = r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)[\x20\x22]{0,3}[=:][\x20\x22]{0,3}[A-Za-z0-9+/_.-]{16,}+"
 #: (kind, pattern, gate: a text without it is not searched, whether matches are base spans)
 SOURCES = (("email", EMAIL, "contains({t}, '@')", True), ("ip", IP, "true", True), ("card", CARD, "true", True), ("phone", PHONE, "contains({t}, '+')", True), ("email", SPELLED, "contains({t}, '(') or contains({t}, '[')", False), ("secret", SECRET, "contains({t}, '=') or contains({t}, ':')", False))
@@ -39,6 +39,8 @@ LABELERS = ("value", "gazetteer", "context", "border", "shape", "repeat")
 TOP_LEVEL = "com org net edu gov mil int info biz io de fr es it uk eu us ca au jp cn in ch at nl be se no dk fi pl ru br mx".split()
 CUES = {"email": "mail contact write reach send kontakt courriel correo schreib", "ip": "ip host server address client login adresse from", "card": "card visa master amex credit pay iban account karte carte tarjeta", "phone": "phone call tel fax mobile reach contact ruf telefon appel", "secret": "token secret password passwd key"}
 ACCEPT = 0.5
+#: Code points on the left of a candidate in which the context labeler looks for its cues.
+CONTEXT = 40
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -68,7 +70,7 @@ def _candidates(text: str) -> str:
     for kind, pattern, gate, base in SOURCES:
         value = "regexp_extract(f, '[A-Za-z0-9+/_.-]{16,}+$', 0)" if kind == "secret" else "f"
         each = f"""transform(m, (f, k) -> named_struct('kind', '{kind}', 'base', {str(base).lower()}, 'start', s[k] - length({value}), 'stop', s[k],
-            'body', {value}, 'l', lower(right(p[k], 40)), 'r', left(p[k + 1], 1), 'whole', f))"""
+            'body', {value}, 'l', lower(right(p[k], {CONTEXT})), 'r', left(p[k + 1], 1), 'whole', f))"""
         located = _let("p", f"split({text}, r'{pattern}', -1)", _stops(each))
         matches = f"case when {gate.format(t=text)} then regexp_extract_all({text}, r'{pattern}', 0) else cast(array() as array<string>) end"
         parts.append(_let("m", matches, f"case when size(m) > 0 then {located} else {empty} end"))
@@ -207,4 +209,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The result columns of the query from ``find``'s rows."""
     named = "transform({}, x -> concat(x.kind, ':', x.start, ':', x.stop))"
     counts = [F.expr(f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select(id_col, *counts, F.expr(f"sha2(array_join({named.format('filter(spans, x -> x.base)')}, ','), 256)").alias("base_sha256"), F.expr(f"array_join({named.format('spans')}, ',')").alias("spans"))
+    return found.select(
+        id_col, *counts, F.expr(f"sha2(array_join({named.format('filter(spans, x -> x.base)')}, ','), 256)").alias("base_sha256"), F.expr(f"array_join({named.format('spans')}, ',')").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )

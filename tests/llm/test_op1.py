@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -98,3 +99,44 @@ def test_long_secret_is_one_span(spark):
     (got,) = op.voted(docs.select("text")).collect()
     assert [(c.kind, c.start, c.stop) for c in got.candidates if c.kind == "secret"] == [("secret", 10, 1010)]
     assert secret[-50:] not in op.redact(docs).collect()[0].text
+
+
+def test_long_spelled_address(spark):
+    text = "write to " + "a" * 100 + " (at) host" + " (dot) part" * 9 + " now"
+    (got,) = op.voted(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(c.kind, c.start, c.stop) for c in got.candidates if c.kind == "email"] == [("email", 9, len(text) - 4)]
+
+
+def test_classifier_refuses_what_the_value_check_passes():
+    """A kind of candidate whose other labelers vote against it gets a posterior below the threshold; well-backed ones are taken."""
+    good, bad = (1, 1, 1, 1, 1, 0), (1, -1, 0, -1, 0, -1)
+    model = op.fit([("secret", good, 500), ("secret", bad, 400), ("secret", (-1, -1, 0, -1, 0, -1), 300), ("email", (1, 1, 1, 1, 1, 0), 300), ("email", (1, -1, 0, -1, -1, 0), 100)])
+
+    def chance(kind, votes):
+        return 1 / (1 + math.exp(-(model.bias + model.kinds[kind] + sum(w * v for w, v in zip(model.votes, votes, strict=True)))))
+
+    assert chance("secret", bad) < op.ACCEPT < chance("secret", good)
+    assert chance("email", (1, -1, 0, -1, -1, 0)) < op.ACCEPT < chance("email", (1, 1, 1, 1, 1, 0))
+
+
+def test_recall_by_kind(spark):
+    """Planted data of every kind, base and wider, among words: all are found, and texts without stay without."""
+    rng = random.Random(3)
+    words = "the of and with time house water server number street place".split()
+    planted = {
+        "email": lambda: rng.choice([f"u{rng.randrange(999)}@mail{rng.randrange(9)}.com", f"mail me: jo{rng.randrange(99)} (at) host (dot) org"]),
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)), "card": lambda: "card 4111 1111 1111 1111", "phone": lambda: f"call +49 30 {rng.randrange(10**6, 10**7)}",
+        "secret": lambda: f"token = \"{rng.getrandbits(160):040x}a1\"",
+    }
+    docs, want = [], {}
+    for i in range(400):
+        text = rng.choices(words, k=30)
+        if i % 2:
+            want[i] = rng.choice(list(planted))
+            text.insert(rng.randrange(30), planted[want[i]]())
+        docs.append((i, " ".join(text)))
+    got = {r.doc_id: {s.kind for s in r.spans} for r in op.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for kind in planted:
+        own = [i for i in want if want[i] == kind]
+        assert sum(kind in got[i] for i in own) >= 0.95 * len(own), kind
+    assert not any(got[i] for i in got if i not in want)

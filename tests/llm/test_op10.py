@@ -70,7 +70,7 @@ def shortest(parsed):
         name = str(kind)
         if name == "LITERAL":
             parts = [chr(value)]
-        elif name == "ANY":
+        elif name in ("ANY", "NOT_LITERAL"):
             parts = ["x"]
         elif name == "IN":
             parts = [chr(v if str(k) == "LITERAL" else v[0]) if str(k) in ("LITERAL", "RANGE") else "0" for k, v in value]
