@@ -28,8 +28,8 @@ MAX_LABELLED = 6000
 GRADES = 3
 #: quality 0: grade 0; quality 1 and toxic: 1; quality 1 and not toxic: 2
 GRADE = "case when quality = 0 then 0 when toxic = 1 then 1 else 2 end"
-#: A text is kept when it more likely than not reaches this grade.
-LEAST_GRADE, LEAST_TAIL = 1, 0.5
+#: A text is kept when it more likely than not reaches this grade, the top one: neither junk nor toxic.
+LEAST_GRADE, LEAST_TAIL = 2, 0.5
 SCORE = "struct<expected_grade:double,p_ge_1:double,p_ge_2:double>"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHAPE = bytes(ord("a") if chr(c).isalpha() and c < 128 or c >= 128 else ord("9") if chr(c).isdigit() and c < 128 else c for c in range(256))
@@ -38,7 +38,7 @@ _SEEN_MOST = 200_000
 
 def _shape(word: bytes) -> bytes:
     mapped = word.translate(_SHAPE)
-    return bytes([c for i, c in enumerate(mapped) if not i or mapped[i - 1] != c])[:16]
+    return bytes([c for i, c in enumerate(mapped) if not i or mapped[i - 1] != c])
 
 
 class Features:
@@ -88,7 +88,7 @@ class Model:
         return _sigmoid(float(self.weights[slots] @ values) - self.thresholds)
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = GRADES, dimensions: int = DIMENSIONS, rounds: int = 250, decay: float = 2e-4) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = GRADES, dimensions: int = DIMENSIONS, rounds: int = 250, decay: float = 2e-5) -> Model:
     """Maximum likelihood by full-batch Adam; the thresholds stay ordered, as gaps are exponentials."""
     seen = sorted({g for g, *_ in rows})
     if len(seen) < 2:
