@@ -69,30 +69,31 @@ class BlockedBloom:
         for word, bit in self.positions(xxhash.xxh64_intdigest(key.encode(), 42), self.blocks):
             self.words[word] |= 1 << bit
 
+    def places(self, key: Column) -> Column:
+        """The words and bits of a key as a JVM-side array of structs; Spark's xxhash64 has the same seed."""
+        hashed = F.xxhash64(key)
+        block = F.pmod(hashed.bitwiseAND(F.lit((1 << 63) - 1)), F.lit(self.blocks)).cast("int") * WORDS
+        low = hashed.bitwiseAND(F.lit(0x7FFFFFFF))
+        # 31 bits by 32 bits: no overflow
+        bits = [F.shiftrightunsigned((low * F.lit(salt)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int") for salt in _SALTS]
+        return F.array(*[F.struct((block + F.lit(i)).alias("word"), bit.alias("bit")) for i, bit in enumerate(bits)])
+
     def __contains__(self, key: str) -> bool:
         return all(self.words[word] >> bit & 1 for word, bit in self.positions(xxhash.xxh64_intdigest(key.encode(), 42), self.blocks))
 
     def might_contain(self, key: Column) -> Column:
-        """The same test as a JVM-side expression; Spark's xxhash64 has the same seed."""
-        hashed = F.xxhash64(key)
+        """The same test as ``in``, as a JVM-side expression."""
         words = F.split(F.lit(",".join(map(str, self.words.tolist()))), ",").cast("array<bigint>")
-        block = F.pmod(hashed.bitwiseAND(F.lit((1 << 63) - 1)), F.lit(self.blocks)).cast("int") * WORDS
-        low = hashed.bitwiseAND(F.lit(0x7FFFFFFF))
-        test = F.lit(True)
-        for i, salt in enumerate(_SALTS):
-            # 31 bits by 32 bits: no overflow
-            bit = F.shiftrightunsigned((low * F.lit(salt)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int")
-            word = F.get(words, block + F.lit(i))
-            test = test & (F.call_function("shiftright", word, bit).bitwiseAND(F.lit(1)) == 1)
-        return test
+        return F.forall(self.places(key), lambda p: F.call_function("shiftright", F.get(words, p["word"]), p["bit"]).bitwiseAND(F.lit(1)) == 1)
 
 
 def bloom_of(listed: DataFrame, most: int = BLOOM_BLOCKS) -> BlockedBloom:
-    """The filter over ``listed.entry``; entries stream to the driver, which holds only the filter's bounded words."""
+    """The filter over ``listed.entry``; executors hash the entries, and the driver gets the words that are set, at most WORDS x ``most``."""
     rows = listed.count()
     bloom = BlockedBloom(int(min(most, max(16, 1 << int(np.ceil(np.log2(max(1, rows / 8))))))))
-    for (entry,) in listed.select("entry").toLocalIterator():
-        bloom.add(entry)
+    each = listed.select(F.explode(bloom.places(F.col("entry"))).alias("p")).groupBy("p.word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.bit"))).alias("bits"))
+    for r in each.collect():
+        bloom.words[r["word"]] = r["bits"]
     return bloom
 
 
@@ -105,10 +106,10 @@ def lookups(host: Column, path: Column, lengths: Sequence[int]) -> Column:
 
 
 def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Return ``(<id_col>, host, path, rule, listed, verdict)``, one row per page.
+    """Return ``(<id_col>, host, path, rule, verdict, listed)``, one row per page.
 
     listed: ``(entry, host, verdict, kind)``; the longest entry of kind ``rule`` decides, else the longest other one blocks
-    or allows, else the page is allowed.
+    or allows, else the page is allowed.  Pages that the filter finds no possible entry for are judged where they are read.
     """
     ranked = F.min(F.struct((F.col("verdict") != "block").cast("int").alias("o"), "verdict"))["verdict"]
     known = listed.where("entry is not null and host is not null").groupBy("entry", "kind").agg(ranked.alias("v"), F.min("host").alias("h"))
@@ -118,9 +119,10 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url_col)), F.lit("")).alias("path")
     )
     if not lengths:
-        return page.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("listed"), F.lit("allow").alias("verdict"))
-    possible = F.filter(lookups(F.col("host"), F.col("path"), lengths), bloom.might_contain)
-    spread = page.select("row", "id", "host", "path", F.explode_outer(possible).alias("entry"))
+        return page.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("listed"))
+    looked = page.withColumn("possible", F.filter(lookups(F.col("host"), F.col("path"), lengths), bloom.might_contain))
+    unlisted = looked.where(F.size("possible") == 0).select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("listed"))
+    spread = looked.where(F.size("possible") > 0).select("row", "id", "host", "path", F.explode("possible").alias("entry"))
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = spread.join(F.broadcast(known) if few else known, "entry", "left")
 
@@ -129,7 +131,8 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         return F.max(F.when(fits, F.struct(F.length("entry").alias("n"), "entry", "v")))
 
     top = hits.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), best("rule").alias("r"), best("listed").alias("l"))
-    return top.select(F.col("id").alias(id_col), "host", "path", F.col("r.entry").alias("rule"), F.col("l.entry").alias("listed"), F.coalesce("r.v", "l.v", F.lit("allow")).alias("verdict"))
+    judged = top.select(F.col("id").alias(id_col), "host", "path", F.col("r.entry").alias("rule"), F.coalesce("r.v", "l.v", F.lit("allow")).alias("verdict"), F.col("l.entry").alias("listed"))
+    return unlisted.unionByName(judged)
 
 
 #: DuckDB SQL for ``judge`` with RULES and LISTED.
@@ -144,6 +147,6 @@ m as (
   select u.row_id, l.kind, arg_max(l.host || l.path, length(l.host || l.path)) as entry, arg_max(l.verdict, length(l.host || l.path)) as verdict
   from u join l on (u.host = l.host or ends_with(u.host, '.' || l.host)) and starts_with(u.path, l.path) group by all
 )
-select u.page_id, u.host, u.path, r.entry as rule, f.entry as listed, coalesce(r.verdict, f.verdict, 'allow') as verdict
+select u.page_id, u.host, u.path, r.entry as rule, coalesce(r.verdict, f.verdict, 'allow') as verdict, f.entry as listed
 from u left join m r on r.row_id = u.row_id and r.kind = 'rule' left join m f on f.row_id = u.row_id and f.kind = 'listed'
 """ % ", ".join(str((h, p, v, k)) for entries, k in ((RULES, "rule"), (LISTED, "listed")) for h, p, v in entries)

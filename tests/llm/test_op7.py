@@ -19,7 +19,7 @@ def brute(url, entries):
         if (host == h or host.endswith("." + h)) and path.startswith(p) and len(h + p) > len(best.get(kind, ("", ""))[0]):
             best[kind] = (h + p, v)
     rule, other = best.get("rule", (None, None)), best.get("listed", (None, None))
-    return host, path, rule[0], other[0], rule[1] or other[1] or "allow"
+    return host, path, rule[0], rule[1] or other[1] or "allow", other[0]
 
 
 @pytest.fixture
