@@ -8,8 +8,12 @@
    memberships and not on the length of the text.  Each round is one aggregation over all documents (a row per domain comes
    back); a document's rate is a fold of the rounds' residuals over its posterior, so nothing is shuffled or rewritten.
 
-The targets' total is that of the corpus times the smallest factor at which no domain has to shrink, and HEADROOM; so
-over-represented domains keep their documents and the others are repeated.  Pass ``total`` for another budget.
+The targets' total is that of the targeted domains times the smallest factor at which none of them has to shrink, and
+HEADROOM; so over-represented domains keep their documents and the others are repeated.  Pass ``total`` for another budget.  A
+labelled domain that has no target keeps its total, so its documents' rates stay near one.
+
+Rounds end when the totals are met, or when they stop moving (targets that no rates >= 0 can meet: the least squares are found);
+``solve`` raises when neither has come about after ROUNDS, so unsettled rates are never returned.
 
 Only DataFrame and SQL functions are used.  The labelled sample is bounded by MAX_LABELLED rows, the classifier by MAX_DOMAINS
 times BUCKETS numbers, which become literals of the plan: classifying is a narrow pass, and documents are never shuffled.
@@ -18,7 +22,7 @@ The driver sees word counts of that bound, totals and residuals.
 Defined cases: a null or empty text has no tokens, the prior as its posterior, and a rate all the same; labels with nulls,
 without a document or repeated (the smallest domain counts) don't disturb; a target without a labelled document can't be met
 and is left out, the rest is scaled up; without any usable label or target, every rate is 1; an empty table gives an empty
-result; rows that repeat are rated one by one; other columns are kept by ``mix``.
+result; rows that repeat are rated one by one; other columns are kept by ``mix``, save those named like its own, which it replaces.
 """
 
 from __future__ import annotations
@@ -35,11 +39,11 @@ MAX_LABELLED = 6000
 MAX_DOMAINS = 64
 BUCKETS = 1 << 13
 EVIDENCE = 30
-ROUNDS = 40
+ROUNDS = 400
 #: Share by which the targets' total exceeds the least one, so that soft memberships leave no rate below one.
 HEADROOM = 0.02
-#: Rounds end when the residual is below this share of the targets' total.
-SETTLED = 1e-4
+#: Rounds end when the residual is below this share of the targets' total, or changes by less than the second for STALLED rounds.
+SETTLED, STILL, STALLED = 1e-4, 1e-6, 5
 #: Target shares of the domains (languages) of the registered query.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
@@ -130,18 +134,19 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], total
     """Steps of the accelerated projected gradient for ``table`` (``tokens``, ``p``), to be folded by ``_rate``."""
     n = len(domains)
     wanted = [max(0.0, float(targets.get(d, 0.0))) for d in domains]
+    listed = [d in targets for d in domains]
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
     row = table.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(n)], *[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))) for i, j in pairs]).first()
     have, gram = [float(v or 0) for v in row[:n]], [[0.0] * n for _ in range(n)]
     for (i, j), v in zip(pairs, row[n:], strict=True):
         gram[i][j] = gram[j][i] = float(v or 0)
-    corpus, share = sum(have), sum(w for w, h in zip(wanted, have, strict=True) if h > 0)
+    corpus, share = sum(h for h, t in zip(have, listed, strict=True) if t), sum(w for w, h in zip(wanted, have, strict=True) if h > 0)
     if corpus <= 0 or share <= 0:
         return []
     wanted = [w / share if h > 0 else 0.0 for w, h in zip(wanted, have, strict=True)]
     goal = total if total is not None else corpus * (1 + HEADROOM) * max(1.0, *(h / corpus / w for w, h in zip(wanted, have, strict=True) if w > 0))
-    target = [w * goal for w in wanted]
-    step, momentum, steps, gap = 1 / _largest(gram), 1.0, [], math.inf
+    target = [w * goal if t else h for w, h, t in zip(wanted, have, listed, strict=True)]
+    step, momentum, steps, gap, still = 1 / _largest(gram), 1.0, [], math.inf, 0
     at = have
     for _ in range(rounds):
         residual = [a - b for a, b in zip(at, target, strict=True)]
@@ -155,11 +160,12 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], total
         ).first()
         at, reached = [float(v) for v in told[:n]], [float(v) for v in told[n:]]
         before, gap = gap, math.dist(reached, target)
-        if gap <= SETTLED * goal:
-            break
+        still = still + 1 if abs(gap - before) <= STILL * goal else 0
+        if gap <= SETTLED * goal or still == STALLED:
+            return steps
         if gap > before:  # the momentum overshoots
             momentum = 1.0
-    return steps
+    raise RuntimeError(f"rates did not settle in {rounds} rounds: the totals are {gap / goal:.2g} of the target away")
 
 
 def _rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str, text_col: str, total: float | None, keep: list[str]) -> DataFrame:
@@ -196,4 +202,5 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     A document with rate zero goes; with the default total no rate of a listed domain's document falls to zero.
     """
     rated = _rated(docs, labelled, targets, id_col, text_col, total, docs.columns)
-    return rated.where("r.rate > 0").select("row.*", F.col("r.rate").alias("mix_rate"), F.col("r.copies").alias("mix_copies"))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_rate", "mix_copies")]
+    return rated.where("r.rate > 0").select(*kept, F.col("r.rate").alias("mix_rate"), F.col("r.copies").alias("mix_copies"))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from manyfold.llm import op9_mixing as op
@@ -58,9 +59,10 @@ def test_a_tight_budget_clips_at_zero(spark):
     rows = make()
     docs = spark.createDataFrame(rows, SCHEMA)
     tokens = sum(len(r[1].split()) for r in rows)
-    got = op.rates(docs, labelled(spark, rows), {"z": 1.0}, total=0.05 * tokens).collect()
+    only = {"x": 0.0, "y": 0.0, "z": 1.0}
+    got = op.rates(docs, labelled(spark, rows), only, total=0.05 * tokens).collect()
     assert min(r.rate for r in got) == 0.0 and len(got) == len(rows)
-    kept = op.mix(docs, labelled(spark, rows), {"z": 1.0}, total=0.05 * tokens)
+    kept = op.mix(docs, labelled(spark, rows), only, total=0.05 * tokens)
     assert kept.columns == [*docs.columns, "mix_rate", "mix_copies"] and 0 < kept.count() == sum(r.rate > 0 for r in got)
 
 
@@ -87,3 +89,22 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(make(20), SCHEMA)
     plan = op.rates(docs, labelled(spark, make(20)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_domain_without_target_stays(spark):
+    rows = make()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = op.mix(docs.withColumn("mix_rate", F.lit("old")), labelled(spark, rows), {"x": 0.5, "y": 0.5})
+    assert got.columns == [*docs.columns, "mix_rate", "mix_copies"]
+    rated = {r.doc_id: r.mix_rate for r in got.collect()}
+    assert len(rated) == len(rows) and 0.7 < np.mean([rated[r[0]] for r in rows if r[2] == "z"]) < 1.5
+    assert np.mean([rated[r[0]] for r in rows if r[2] == "y"]) > 1.5
+
+
+def test_unsettled_rates_are_not_returned(spark):
+    rows = make()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    table = docs.select(F.lit(10).alias("tokens"), F.when(F.col("topic") == "x", F.array(F.lit(0.9), F.lit(0.1))).otherwise(F.array(F.lit(0.2), F.lit(0.8))).alias("p"))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        op.solve(table, ["x", "y"], {"x": 0.1, "y": 0.9}, rounds=2)
+    assert op.solve(table, ["x", "y"], {"x": 0.1, "y": 0.9})
