@@ -2,12 +2,14 @@
 
 Iterative operators (graph rounds, model fits over all rows) need a point from which a lost executor's work can be
 read again.  Such tables go to the folder named by ``spark.checkpoint.dir``, which every executor and the driver share;
-nothing is ever written to a machine's own temporary folder unless the setting is absent, as in tests.
+nothing is ever written to a machine's own temporary folder unless the setting is absent and driver and executors are one
+process, as in tests.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,10 +20,13 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's ``spark.checkpoint.dir``, or a folder of our own where unset."""
+    """The shared folder for cut lineage: the session's ``spark.checkpoint.dir``, or a folder of our own where unset and Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         if app not in _fallback:
             own = tempfile.mkdtemp(prefix="manyfold-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)

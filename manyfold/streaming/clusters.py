@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from manyfold.operators import candidates
+from manyfold.operators.storage import materialise
 from manyfold.plans.workflows import linear_cluster
 
 MEMBERS = "rep long, member long, seq string, batch long"
@@ -34,9 +35,9 @@ def absorb(path: str, k: int = 12, per_sequence: int = 21, least_identity: float
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select("key", "seq").dropDuplicates(["key"]).persist()
         known = members(spark, path).where(F.col("batch") < number)
-        fresh = fresh.join(known.select(F.col("member").alias("key")), "key", "left_anti")
+        # several steps read the batch: it is cut through a shared table, which a lost executor doesn't lose
+        fresh = materialise(batch.select("key", "seq").dropDuplicates(["key"]).join(known.select(F.col("member").alias("key")), "key", "left_anti"))
         reps = known.where("rep = member").select(F.col("rep").alias("key"), "seq")
         pairs = candidates.search_kmers(fresh, candidates.kmer_index(reps, k, per_sequence), k, per_sequence)
         scored = candidates.rescore_diagonals(pairs, fresh, reps)
@@ -47,7 +48,6 @@ def absorb(path: str, k: int = 12, per_sequence: int = 21, least_identity: float
         texts = fresh.select(F.col("key").alias("member"), "seq")
         out = found.join(texts, "member").select("rep", "member", F.when(F.col("rep") == F.col("member"), F.col("seq")).alias("seq"))
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.unpersist()
 
     return one
 
