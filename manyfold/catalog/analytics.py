@@ -48,12 +48,24 @@ def _(spark, d):
     return found.select("key", "n", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
-@add("summarizeresult")
+def _picked(good: str, order: str) -> str:
+    """SQL that walks each entry's lines in order and takes those that overlap little with what was taken before."""
+    return f"""with recursive {HITS}, g as (select *, row_number() over (partition by key order by {order}) as i, least(qstart, qend) as a, greatest(qstart, qend) as b from hits where qstart < qlen and qend < qlen and {good}),
+  w as (select key, i, true as ok, range(a, b) as held from g where i = 1
+    union all select g.key, g.i, len(list_filter(w.held, lambda x: x >= g.a and x < g.b)) / (g.b - g.a + 1) <= 0.1,
+      case when len(list_filter(w.held, lambda x: x >= g.a and x < g.b)) / (g.b - g.a + 1) <= 0.1 then list_distinct(list_concat(w.held, range(g.a, g.b))) else w.held end from w join g on g.key = w.key and g.i = w.i + 1)
+  select key, pos, target, qstart, qend from g join w using (key, i) where ok"""
+
+
+COVERED = "(abs(tend - tstart) + 1) / tlen"
+
+
+@add("summarizeresult", _picked(f"{COVERED} >= 0.05", "pos"))
 def _(spark, d):
     return ops.pick_domains(hits(spark, d), overlap=0.1, coverage=0.05).select("key", "pos", "target", "qstart", "qend")
 
 
-@add("summarizetabs")
+@add("summarizetabs", _picked(f"{COVERED} > 0.05 and evalue < 0.08", "evalue, pos"))
 def _(spark, d):
     return ops.pick_domains(hits(spark, d), overlap=0.1, coverage=0.05, most_evalue=0.08).select("key", "pos", "target", "qstart", "qend")
 
@@ -141,7 +153,14 @@ def _(spark, d):
     return _combined(spark, d, "truncated")
 
 
-@add("combine_multihit")
+MULTIHIT = """, x as (select set_id, target_set, n, coalesce(sum(case when log_p < ln(1.0 / (n + 1)) then ln(1.0 / (n + 1)) - log_p end), 0) as r from v group by all),
+  k as (select n, unnest(range(1, n + 1)) as k from (select distinct n from x)),
+  term as (select n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(1.0 / (n + 1)) + (n - k) * ln(1 - 1.0 / (n + 1))) as t from k),
+  tail as (select n, k, sum(t) over (partition by n order by k desc) as t from term)
+  select set_id, target_set, round(25 * case when r = 0 then 1 else (select sum(exp((k - 1) * ln(r) - lgamma(k) - r + ln(t))) from tail where tail.n = x.n and t > 0) end, 4) as value from x"""
+
+
+@add("combine_multihit", QSETS + MULTIHIT)
 def _(spark, d):
     return _combined(spark, d, "multihit")
 

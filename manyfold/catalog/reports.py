@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from manyfold.catalog import Catalog
+from manyfold.catalog.similarity import BEST, CENTRES, _best_diagonals, _cover, _diagonals, _lowest, _stretches, _words
 from manyfold.catalog.tables import HITS, SEQS, hits, queries, seqs, table, taxa
 from manyfold.operators import clustering
 from manyfold.operators.candidates import kmer_index
@@ -84,7 +85,7 @@ def _(spark, d):
     return workflows.reciprocal_search(queries(spark, d), seqs(spark, d))
 
 
-@add("map")
+@add("map", f"with {_best_diagonals(_diagonals(12), 15)}, {_stretches('found', 'queries', 'seqs')} select * from rescored where identical >= 0.9 * overlap and overlap >= 0.95 * qlen")
 def _(spark, d):
     return workflows.map_near(queries(spark, d), seqs(spark, d))
 
@@ -94,12 +95,19 @@ def _(spark, d):
     return workflows.linear_search(queries(spark, d), kmer_index(seqs(spark, d), 12, 40), seqs(spark, d), 12, 40)
 
 
-@add("linclust")
+# equal sequences first; then centres without gaps, among one sequence of each
+LINEAR = f"""{SEQS}, same as (select min(key) over (partition by seq) as rep, key as member from seqs), kept as (select * from seqs where key in (select rep from same)),
+  {_words('w', 'kept')}, {_lowest('low', 'w', 12, 21)}, {CENTRES}, pairs as (select centre as key, key as target, centre_place - place as diagonal from low join centres using (kmer) where key <> centre and length / centre_length >= 0.8),
+  matched as ({BEST}), {_stretches('matched', 'kept', 'kept')},
+  edges as (select key as src, target as dst, score from rescored where identical >= 0.9 * overlap and overlap / greatest(qlen, tlen) >= 0.8)"""
+
+
+@add("linclust", _cover(LINEAR, "kept") + " select c.rep, s.member from same s join covered c on c.member = s.rep")
 def _(spark, d):
     return workflows.linear_cluster(seqs(spark, d))
 
 
-@add("linclust_component")
+@add("linclust_component", f"with recursive {LINEAR}, e as (select src, dst from edges union select dst, src from edges), reach as (select key as node, key as root from kept union select e.dst, r.root from reach r join e on e.src = r.node), comp as (select node, min(root) as component from reach group by 1), named as (select first_value(key) over (partition by component order by length(seq) desc, key) as rep, node from comp join kept on key = node) select n.rep, s.member from same s join named n on n.node = s.rep")
 def _(spark, d):
     return workflows.linear_cluster(seqs(spark, d), mode="component")
 

@@ -64,7 +64,7 @@ def _(spark, d):
     return sequence.mask_regions(nucl(spark, d), regions)
 
 
-@add("mask_nrepeat")
+@add("mask_nrepeat", f"with {NUCL} select key, array_to_string(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: case when length(r) >= 4 then lower(r) else r end), '') as seq from nucl")
 def _(spark, d):
     return nucl(spark, d).select("key", sequence.mask_runs(F.col("seq"), 4).alias("seq"))
 

@@ -16,6 +16,10 @@ from manyfold.functions.predicates import can_be_covered
 from manyfold.functions.sequence import kmers
 
 MATCH, MISMATCH = 2, -1
+#: Base of the rolling hash: an odd number with mixed bits.
+ROLL = 0x9E3779B97F4A7C15
+#: Distinct words of the queries that are broadcast to thin out the targets' words, 8 bytes each; with more, nothing is broadcast.
+BROADCAST_WORDS = 1 << 22
 #: Letters of queries that are broadcast at once by the exhaustive scans.
 QUERY_BLOCK = 1 << 20
 
@@ -24,18 +28,41 @@ def _hash(word: Column, how: str) -> Column:
     return F.md5(word) if how == "md5" else F.xxhash64(word)
 
 
-def lowest_kmers(table: DataFrame, k: int, per_sequence: int, scale: float = 0.0, how: str = "xxhash64") -> DataFrame:
-    """``(key, length, kmer, place)``: each sequence's distinct k-mers with the lowest hashes, at their first place.
+def encode(seq: str) -> np.ndarray:
+    """Code points of a sequence, ASCII letters in upper case."""
+    codes = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), np.int32)
+    return np.where((codes >= 97) & (codes <= 122), codes - 32, codes)
+
+
+def rolling_hashes(seq: str, k: int) -> np.ndarray:
+    """The hash of every word of length k: its letters as digits to the base ROLL, modulo 2 ** 64."""
+    letters = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(letters) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = letters[:n].copy()
+    for j in range(1, k):
+        out *= np.uint64(ROLL)
+        out += letters[j:j + n]
+    return out
 
-    ``per_sequence`` of them, and ``scale`` more per letter.  They are chosen within the row, so only they are shuffled.
+
+def lowest_kmers(table: DataFrame, k: int, per_sequence: int, scale: float = 0.0) -> DataFrame:
+    """``(key, length, kmer, place)``: each sequence's distinct k-mers with the lowest rolling hashes, at their first place.
+
+    ``per_sequence`` of them, and ``scale`` more per letter.  They are chosen within the row, so only they are shuffled; a
+    batch of rows is hashed by vector operations, in time linear in its letters.
     """
-    words = F.flatten(F.array(*[F.regexp_extract_all(F.substring(F.col("seq"), F.lit(o + 1), F.length("seq")), F.lit(f"(?s).{{{k}}}"), F.lit(0)) for o in range(k)]))
-    wanted = (F.lit(per_sequence) + F.floor(F.length("seq") * F.lit(scale))).cast("int")
-    distinct = F.array_distinct(words)
-    lowest = F.slice(F.array_sort(F.transform(distinct, lambda w: F.struct(_hash(w, how).alias("h"), w.alias("w")))), F.lit(1), wanted)
-    chosen = table.select("key", "seq", F.length("seq").alias("length"), F.explode(lowest).alias("c"))
-    # a place is found by the first occurrence of the word
-    return chosen.select("key", F.col("length").cast("long").alias("length"), F.col("c.w").alias("kmer"), (F.instr("seq", F.col("c.w")) - 1).cast("long").alias("place"))
+
+    @F.arrow_udf("array<struct<kmer:string,place:long>>")
+    def chosen(seqs: pa.Array) -> pa.Array:
+        rows = []
+        for seq in seqs.to_pylist():
+            _, first = np.unique(rolling_hashes(seq or "", k), return_index=True)
+            rows.append([{"kmer": seq[p:p + k], "place": p} for p in first[:per_sequence + int(len(seq or "") * scale)].tolist()])
+        return pa.array(rows, pa.list_(pa.struct([("kmer", pa.string()), ("place", pa.int64())])))
+
+    return table.select("key", F.length("seq").cast("long").alias("length"), F.inline(chosen(F.col("seq")))).select("key", "length", "kmer", "place")
 
 
 def centres(chosen: DataFrame) -> DataFrame:
@@ -54,26 +81,26 @@ def _best_diagonals(pairs: DataFrame, least: int = 1) -> DataFrame:
     return best.where(F.col("b.n") >= least).select("key", "target", "score", "b.diagonal")
 
 
-def match_kmers(table: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0, share: float = 0.0, mode: int = 0, how: str = "xxhash64", least: int = 1) -> DataFrame:
+def match_kmers(table: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0, share: float = 0.0, mode: int = 0, least: int = 1) -> DataFrame:
     """Linear-time self-join: every sequence meets only the centre of each of its chosen k-mers.
 
     Returns ``(key, target, score, diagonal)`` with key the centre.  A k-mer that a third of all sequences share costs one
     row for each of them: centres are map-side minima, and the join back is a plain equi-join that adaptive execution splits.
     """
-    chosen = lowest_kmers(table, k, per_sequence, scale, how)
+    chosen = lowest_kmers(table, k, per_sequence, scale)
     joined = chosen.join(centres(chosen), "kmer").where("key != centre")
     fits = can_be_covered(share, mode, F.col("centre_length"), F.col("length"))
     return _best_diagonals(joined.where(fits).select(F.col("centre").alias("key"), F.col("key").alias("target"), (F.col("centre_place") - F.col("place")).alias("diagonal")), least)
 
 
-def kmer_index(table: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0, how: str = "xxhash64") -> DataFrame:
+def kmer_index(table: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0) -> DataFrame:
     """The targets' side of ``search_kmers``, reduced to centres; to be written as a table bucketed by ``kmer``."""
-    return centres(lowest_kmers(table, k, per_sequence, scale, how))
+    return centres(lowest_kmers(table, k, per_sequence, scale))
 
 
-def search_kmers(queries: DataFrame, index: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0, how: str = "xxhash64") -> DataFrame:
+def search_kmers(queries: DataFrame, index: DataFrame, k: int = 10, per_sequence: int = 21, scale: float = 0.0) -> DataFrame:
     """Queries against a k-mer index: ``(key, target, score, diagonal)``."""
-    joined = lowest_kmers(queries, k, per_sequence, scale, how).join(index, "kmer")
+    joined = lowest_kmers(queries, k, per_sequence, scale).join(index, "kmer")
     return _best_diagonals(joined.select("key", F.col("centre").alias("target"), (F.col("place") - F.col("centre_place")).alias("diagonal")))
 
 
@@ -87,24 +114,93 @@ def neighbours(table: DataFrame, alphabet: str, mismatches: int = 1) -> DataFram
     return table.select("key", "place", F.explode(F.array_distinct(changed)).alias("kmer"))
 
 
-def match_diagonals(queries: DataFrame, targets: DataFrame, k: int = 6, least: int = 2, most: int = 300, alphabet: str | None = None, match: int = MATCH, mismatch: int = MISMATCH, least_score: int = 15) -> DataFrame:
-    """Targets with at least ``least`` k-mer matches on one diagonal, scored without gaps: ``(key, target, score, diagonal)``.
+def target_words(targets: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """``(target, kmer, at)``: the distinct words of each target at their first place; of ``wanted`` words (``kmer``) alone, if given.
+
+    Wanted words are broadcast as sorted hashes where they are at most BROADCAST_WORDS, so that a word no query has never leaves
+    its row; the equi-join that follows removes what only shares a hash.
+    """
+    shared = None
+    if wanted is not None:
 
-    A target's k-mer counts at its first place.  With an ``alphabet`` a query's words also match those within one mismatch.
-    The best diagonal of a pair is kept (ties: the largest), then the ``most`` best targets of each query, as the operator
-    is a top-k search.
+        @F.arrow_udf("long")
+        def hashed(given: pa.Array) -> pa.Array:
+            letters = rolling_hashes("".join(given.to_pylist()), k)
+            return pa.array(letters[::k].view(np.int64) if len(given) else [], pa.int64())
+
+        listed = wanted.select(hashed(F.col("kmer")).alias("h")).distinct().limit(BROADCAST_WORDS + 1).toArrow().column("h").to_numpy()
+        if len(listed) <= BROADCAST_WORDS:
+            shared = targets.sparkSession.sparkContext.broadcast(np.sort(listed.view(np.uint64)))
+
+    @F.arrow_udf("array<struct<kmer:string,at:long>>")
+    def words(seqs: pa.Array) -> pa.Array:
+        known, rows = shared.value if shared else None, []
+        for seq in seqs.to_pylist():
+            found, first = np.unique(rolling_hashes(seq or "", k), return_index=True)
+            if known is not None:
+                at = np.searchsorted(known, found)
+                first = first[(at < len(known)) & (known[np.minimum(at, max(0, len(known) - 1))] == found)] if len(known) else first[:0]
+            rows.append([{"kmer": seq[p:p + k], "at": p} for p in first.tolist()])
+        return pa.array(rows, pa.list_(pa.struct([("kmer", pa.string()), ("at", pa.int64())])))
+
+    return targets.select(F.col("key").alias("target"), F.inline(words(F.col("seq"))))
+
+
+def shared_diagonals(queries: DataFrame, targets: DataFrame, k: int, least: int = 2, alphabet: str | None = None) -> DataFrame:
+    """``(key, target, diagonal, n)`` of the diagonals with at least ``least`` words in common.
+
+    A target's word counts at its first place, as an index holds it once a sequence.
     """
     words = kmers(queries, k)
     own = neighbours(words, alphabet) if alphabet else words
-    theirs = kmers(targets, k).groupBy(F.col("key").alias("target"), "kmer").agg(F.min("place").alias("at"))
-    hits = own.join(theirs, "kmer").groupBy("key", "target", (F.col("place") - F.col("at")).cast("long").alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    texts = hits.join(queries.select("key", F.col("seq").alias("q")), "key").join(targets.select(F.col("key").alias("target"), F.col("seq").alias("t")), "target")
-    scored = texts.select("key", "target", "diagonal", local_score(F.col("q"), F.col("t"), F.col("diagonal"), match, mismatch)["score"].alias("score"))
-    best = scored.groupBy("key", "target").agg(F.max(F.struct("score", "diagonal")).alias("b")).select("key", "target", "b.score", "b.diagonal").where(F.col("score") >= least_score)
+    hits = own.join(target_words(targets, k, own), "kmer")
+    return hits.groupBy("key", "target", (F.col("place") - F.col("at")).cast("long").alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def match_diagonals(queries: DataFrame, targets: DataFrame, k: int = 6, least: int = 2, most: int = 300, alphabet: str | None = None, match: int = MATCH, mismatch: int = MISMATCH, least_score: int = 15) -> DataFrame:
+    """Targets with at least ``least`` k-mer matches on one diagonal, scored without gaps: ``(key, target, score, diagonal)``.
+
+    With an ``alphabet`` a query's words also match those within one mismatch.  A pair's diagonals are listed before its texts
+    are joined, so texts travel once a pair.  The best diagonal is kept (ties: the largest), then the ``most`` best
+    targets of each query, as the operator is a top-k search.
+    """
+
+    @F.arrow_udf("struct<score:long,diagonal:long>")
+    def best_of(qs: pa.Array, ts: pa.Array, diagonals: pa.Array) -> pa.Array:
+        rows = []
+        for q, t, listed in zip(qs.to_pylist(), ts.to_pylist(), diagonals.to_pylist(), strict=True):
+            a, b = encode(q or ""), encode(t or "")
+            rows.append(max((diagonal_score(a, b, d, match, mismatch)["score"], d) for d in listed))
+        return pa.array([{"score": v, "diagonal": d} for v, d in rows], pa.struct([("score", pa.int64()), ("diagonal", pa.int64())]))
+
+    pairs = shared_diagonals(queries, targets, k, least, alphabet).groupBy("key", "target").agg(F.collect_list("diagonal").alias("diagonals"))
+    texts = pairs.join(queries.select("key", F.col("seq").alias("q")), "key").join(targets.select(F.col("key").alias("target"), F.col("seq").alias("t")), "target")
+    best = texts.select("key", "target", best_of(F.col("q"), F.col("t"), F.col("diagonals")).alias("b")).select("key", "target", "b.score", "b.diagonal").where(F.col("score") >= least_score)
     order = Window.partitionBy("key").orderBy(F.desc("score"), "target")
     return best.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).drop("__rank")
 
 
+def diagonal_score(query: np.ndarray, target: np.ndarray, diagonal: int, match: int = MATCH, mismatch: int = MISMATCH) -> dict[str, int]:
+    """Of one diagonal: equal letters, overlap, score of the whole and of its best stretch, which ends where that is first reached.
+
+    A running sum falls back to zero; the stretch's places are on the overlap and closed, -1 without any match.
+    """
+    q0, t0 = max(diagonal, 0), max(-diagonal, 0)
+    size = max(0, min(len(query) - q0, len(target) - t0))
+    same = query[q0:q0 + size] == target[t0:t0 + size]
+    out = {"identical": int(same.sum()), "overlap": size, "whole": 0, "score": 0, "start": -1, "end": -1, "q0": q0, "t0": t0}
+    if size:
+        total = np.cumsum(np.where(same, match, mismatch))
+        lowest = np.minimum(0, np.minimum.accumulate(np.concatenate(([0], total[:-1]))))
+        run = total - lowest
+        end = int(run.argmax())
+        out["whole"] = int(total[-1])
+        if run[end] > 0:
+            before = np.flatnonzero(total[:end] == lowest[end])
+            out |= {"score": int(run[end]), "start": int(before[-1]) + 1 if len(before) else 0, "end": end}
+    return out
+
+
 def _overlap(query: Column, target: Column, diagonal: Column) -> tuple[Column, Column, Column]:
     """Start in the query, start in the target and length of a diagonal's overlap."""
     q0, t0 = F.greatest(diagonal, F.lit(0)), F.greatest(-diagonal, F.lit(0))
@@ -124,56 +220,25 @@ def identical_places(query: Column, target: Column, diagonal: Column) -> Column:
     return F.size(F.filter(_aligned(query, target, diagonal), lambda x: x)).cast("long")
 
 
-def diagonal_length(query: Column, target: Column, diagonal: Column) -> Column:
-    return _overlap(query, target, diagonal)[2].cast("long")
-
-
-def whole_score(query: Column, target: Column, diagonal: Column, match: int = MATCH, mismatch: int = MISMATCH) -> Column:
-    """Score of a diagonal's whole overlap."""
-    same = identical_places(query, target, diagonal)
-    return same * match + (diagonal_length(query, target, diagonal) - same) * mismatch
-
-
-def local_score(query: Column, target: Column, diagonal: Column, match: int = MATCH, mismatch: int = MISMATCH) -> Column:
-    """Best stretch of a diagonal: a struct of ``score, start, end`` (places on the overlap, closed; -1 without any match).
-
-    A running sum falls back to zero, its maximum is the score; the first stretch that reaches it counts.
-    """
-    start = F.struct(*[F.lit(v).cast("long").alias(n) for n, v in (("run", 0), ("from", 0), ("at", 0), ("score", 0), ("start", -1), ("end", -1))])
-
-    def step(a: Column, same: Column) -> Column:
-        run = a["run"] + F.when(same, match).otherwise(mismatch)
-        better = run > a["score"]
-        keep = run > 0
-        return F.struct(
-            F.when(keep, run).otherwise(0).cast("long").alias("run"), F.when(keep, a["from"]).otherwise(a["at"] + 1).alias("from"), (a["at"] + 1).alias("at"),
-            F.when(better, run).otherwise(a["score"]).cast("long").alias("score"), F.when(better, a["from"]).otherwise(a["start"]).alias("start"), F.when(better, a["at"]).otherwise(a["end"]).alias("end"),
-        )
-
-    return F.aggregate(_aligned(query, target, diagonal), start, step, lambda a: F.struct(a["score"].alias("score"), a["start"].alias("start"), a["end"].alias("end")))
-
-
 def rescore_diagonals(pairs: DataFrame, queries: DataFrame, targets: DataFrame, match: int = MATCH, mismatch: int = MISMATCH) -> DataFrame:
     """Ungapped alignments of candidate pairs: ``(key, target, diagonal, identical, overlap, whole, score, qstart, qend, qlen, tstart, tend, tlen)``."""
+    names = ("identical", "overlap", "whole", "score", "start", "end", "q0", "t0")
+
+    @F.arrow_udf("struct<" + ",".join(f"{n}:long" for n in names) + ">")
+    def scored(qs: pa.Array, ts: pa.Array, diagonals: pa.Array) -> pa.Array:
+        rows = [diagonal_score(encode(q or ""), encode(t or ""), d, match, mismatch) for q, t, d in zip(qs.to_pylist(), ts.to_pylist(), diagonals.to_pylist(), strict=True)]
+        return pa.array(rows, pa.struct([(n, pa.int64()) for n in names]))
+
     texts = pairs.select("key", "target", "diagonal").join(queries.select("key", F.col("seq").alias("q")), "key").join(targets.select(F.col("key").alias("target"), F.col("seq").alias("t")), "target")
-    q, t, d = F.col("q"), F.col("t"), F.col("diagonal")
-    q0, t0, size = _overlap(q, t, d)
-    found = texts.select(
-        "key", "target", "diagonal", identical_places(q, t, d).alias("identical"), size.cast("long").alias("overlap"), whole_score(q, t, d, match, mismatch).alias("whole"), local_score(q, t, d, match, mismatch).alias("l"),
-        q0.alias("q0"), t0.alias("t0"), F.length("q").cast("long").alias("qlen"), F.length("t").cast("long").alias("tlen"),
-    )
+    found = texts.select("key", "target", "diagonal", scored(F.col("q"), F.col("t"), F.col("diagonal")).alias("l"), F.length("q").cast("long").alias("qlen"), F.length("t").cast("long").alias("tlen"))
     return found.select(
-        "key", "target", "diagonal", "identical", "overlap", "whole", "l.score", (F.col("q0") + F.col("l.start")).alias("qstart"), (F.col("q0") + F.col("l.end")).alias("qend"), "qlen", (F.col("t0") + F.col("l.start")).alias("tstart"), (F.col("t0") + F.col("l.end")).alias("tend"), "tlen"
+        "key", "target", "diagonal", "l.identical", "l.overlap", "l.whole", "l.score", (F.col("l.q0") + F.col("l.start")).alias("qstart"), (F.col("l.q0") + F.col("l.end")).alias("qend"), "qlen", (F.col("l.t0") + F.col("l.start")).alias("tstart"), (F.col("l.t0") + F.col("l.end")).alias("tend"), "tlen"
     )
 
 
 # --- exhaustive scans: a stated set of queries against all targets
 
 
-def encode(seq: str) -> np.ndarray:
-    return np.frombuffer(seq.upper().encode("utf-32-le"), np.int32)
-
-
 def ungapped_scores(query: np.ndarray, targets: list[np.ndarray], match: int = MATCH, mismatch: int = MISMATCH) -> np.ndarray:
     """Best ungapped score of a query with each target: all targets stand in one row, cut by letters that match nothing."""
     row = np.concatenate([x for t in targets for x in (np.array([-1], np.int32), t)])

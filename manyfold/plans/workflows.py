@@ -83,14 +83,14 @@ def iterative_search(queries: DataFrame, targets: DataFrame, rounds: int = 2, op
 # --- clustering
 
 
-def linear_cluster(table: DataFrame, k: int = 12, per_sequence: int = 21, least_identity: float = 0.9, least_coverage: float = 0.8, mode: str = "set_cover", how: str = "xxhash64") -> DataFrame:
+def linear_cluster(table: DataFrame, k: int = 12, per_sequence: int = 21, least_identity: float = 0.9, least_coverage: float = 0.8, mode: str = "set_cover") -> DataFrame:
     """``(rep, member)`` in linear time: equal sequences, then k-mer centres without gaps, clustered.
 
     mode: ``set_cover``, ``greedy`` or ``component``.
     """
-    same = materialise(clustering.by_hash(table, how=how).select("rep", "member"))
+    same = materialise(clustering.by_hash(table).select("rep", "member"))
     kept = materialise(table.join(same.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"))
-    pairs = candidates.match_kmers(kept, k, per_sequence, share=least_coverage, mode=0, how=how)
+    pairs = candidates.match_kmers(kept, k, per_sequence, share=least_coverage, mode=0)
     scored = candidates.rescore_diagonals(pairs, kept, kept)
     covered = F.col("overlap") / F.greatest("qlen", "tlen")
     good = scored.where((F.col("identical") >= least_identity * F.col("overlap")) & (covered >= least_coverage))
@@ -100,12 +100,12 @@ def linear_cluster(table: DataFrame, k: int = 12, per_sequence: int = 21, least_
     return clustering.merge_clusters(same, chosen)
 
 
-def cascaded_cluster(table: DataFrame, k: int = 12, least_identity: float = 0.8, least_coverage: float = 0.8, steps: int = 3, least_score: int = 40, how: str = "xxhash64") -> DataFrame:
+def cascaded_cluster(table: DataFrame, k: int = 12, least_identity: float = 0.8, least_coverage: float = 0.8, steps: int = 3, least_score: int = 40) -> DataFrame:
     """``(rep, member)``: a linear step, then searches among its representatives with gapped alignment, merged."""
-    clusters = materialise(linear_cluster(table, k, 21, least_identity, least_coverage, how=how))
+    clusters = materialise(linear_cluster(table, k, 21, least_identity, least_coverage))
     for step in range(steps):
         reps = materialise(table.join(clusters.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"))
-        pairs = candidates.match_kmers(reps, max(6, k - 2 * (step + 1)), 40 * (step + 1), share=least_coverage, how=how)
+        pairs = candidates.match_kmers(reps, max(6, k - 2 * (step + 1)), 40 * (step + 1), share=least_coverage)
         # a diagonal has to score before the pair is aligned with gaps
         likely = candidates.rescore_diagonals(pairs, reps, reps).where(F.col("score") >= least_score).select("key", "target", "score")
         aligned = alignment.align(likely, reps, reps, least_identity=least_identity, least_coverage=least_coverage)
@@ -169,13 +169,13 @@ def enrich_profiles(queries: DataFrame, targets: DataFrame, background: DataFram
     return profiles.log_odds(profiles.frequencies(star, profiles.weights(star)), background)
 
 
-def pick_consensus(clusters: DataFrame, table: DataFrame, background: DataFrame, k: int = 12, how: str = "xxhash64") -> DataFrame:
+def pick_consensus(clusters: DataFrame, table: DataFrame, background: DataFrame, k: int = 12) -> DataFrame:
     """``(rep, member)`` with each cluster under the member that scores best against its profile.
 
     Members are laid on the old representative along their best diagonal; those without a shared k-mer stay where they are.
     """
     own = clusters.where("rep != member").select(F.col("rep").alias("key"), F.col("member").alias("target"))
-    words = candidates.lowest_kmers(table.join(clusters.select(F.col("member").alias("key")), "key", "left_semi"), k, 40, how=how)
+    words = candidates.lowest_kmers(table.join(clusters.select(F.col("member").alias("key")), "key", "left_semi"), k, 40)
     left = own.join(words.select("key", "kmer", F.col("place").alias("p")), "key")
     shared = left.join(words.select(F.col("key").alias("target"), "kmer", F.col("place").alias("r")), ["target", "kmer"])
     diagonals = shared.groupBy("key", "target", (F.col("p") - F.col("r")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).groupBy("key", "target").agg(F.max(F.struct("n", "diagonal"))["diagonal"].alias("diagonal"))
