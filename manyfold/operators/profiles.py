@@ -128,3 +128,23 @@ def filter_members(star: DataFrame, least_coverage: float = 0.0, least_identity:
     good = named.where(((F.col("coverage") >= least_coverage) & (F.col("identity") >= least_identity) & (F.col("identity") <= most_identity)) | (F.col("key") == F.col("member")))
     first = F.row_number().over(Window.partitionBy("key", "h", "coverage").orderBy(F.col("key") != F.col("member"), "member"))
     return good.withColumn("__r", first).where("__r = 1").select("key", "member", "coverage", "identity")
+
+
+def representative_sequence(star: DataFrame) -> DataFrame:
+    """``(key, seq)``: the key's own letters in a star alignment, in order."""
+    own = star.where("key = member and letter != '-'").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "letter"))).alias("r"))
+    return own.select("key", F.array_join(F.transform("r", lambda x: x["letter"]), "").alias("seq"))
+
+
+def codon_rows(star: DataFrame, codons: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``(key, member, row)``: the alignment's rows with each letter as its codon, three gaps for a gap.
+
+    codons: ``(key, seq)`` of the members' nucleotides, three for each letter of their sequence, read on as letters are laid out.
+    """
+    letters = star.where("letter != '-'")
+    first = letters.groupBy("key", "member").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "letter"))), lambda x: x["letter"]), "").alias("part"), F.array_sort(F.collect_list("place")).alias("places"))
+    whole = sequences.select(F.col("key").alias("member"), F.col("seq").alias("s")).join(codons.select(F.col("key").alias("member"), F.col("seq").alias("c")), "member")
+    laid = first.join(whole, "member").withColumn("at", F.instr("s", F.col("part")) - 1).join(sequences.select("key", F.length("seq").alias("n")), "key")
+    before = lambda i: F.when(i > 0, F.get("places", i - 1)).otherwise(-1)
+    body = F.array_join(F.transform("places", lambda p, i: F.concat(F.repeat(F.lit("---"), (p - before(i) - 1).cast("int")), F.substring(F.col("c"), ((F.col("at") + i) * 3 + 1).cast("int"), F.lit(3)))), "")
+    return laid.select("key", "member", F.rpad(body, F.col("n") * 3, F.lit("-")).alias("row"))

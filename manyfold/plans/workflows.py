@@ -142,8 +142,13 @@ def update_clusters(old: DataFrame, new: DataFrame, clusters: DataFrame, k: int
 
 
 def assign_taxa(queries: DataFrame, targets: DataFrame, mapping: DataFrame, nodes: DataFrame, mode: str = "lca", options: SearchOptions = SearchOptions()) -> DataFrame:
-    """``(key, taxid, rank, name)`` of each query by its hits: ``lca`` of all, of the ``best`` ones, or ``majority``."""
-    found = materialise(search(queries, targets, options).select("key", "pos", "target", "evalue", "score"))
+    """``(key, taxid, rank, name)`` of each query by its hits, as ``assigned_taxa`` says."""
+    found = materialise(search(queries, targets, options))
+    return assigned_taxa(found, queries, mapping, nodes, mode)
+
+
+def assigned_taxa(found: DataFrame, queries: DataFrame, mapping: DataFrame, nodes: DataFrame, mode: str = "lca") -> DataFrame:
+    """Taxa by the hits ``found``: ``lca`` of all, of the ``best`` ones, or ``majority``."""
     lined = hierarchy.lineages(nodes, hierarchy.closure(nodes))
     if mode == "majority":
         return hierarchy.majority_ancestor(found, mapping, lined, weight=hierarchy.vote_weight("minus_log_evalue", F.col("evalue")), keys=queries).select("key", "taxid", "rank", "name")
@@ -151,7 +156,7 @@ def assign_taxa(queries: DataFrame, targets: DataFrame, mapping: DataFrame, node
     return hierarchy.lowest_common_ancestor(used, mapping, lined, queries)
 
 
-def search_sets(queries: DataFrame, targets: DataFrame, query_sets: DataFrame, target_sets: DataFrame, mode: str = "minimum", options: SearchOptions = SearchOptions()) -> DataFrame:
+def search_sets(queries: DataFrame, targets: DataFrame, query_sets: DataFrame, target_sets: DataFrame, mode: str = "multihit", options: SearchOptions = SearchOptions()) -> DataFrame:
     """Sets against sets: ``(set_id, target_set, value)``; sets are ``(key, set_id)`` of the sequences."""
     found = search(queries, targets, options).select("key", "pos", "target", "evalue")
     sized = target_sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import manyfold
+
 
 def save(table: DataFrame, path: str, compressed: bool = True, mode: str = "errorifexists") -> None:
     """Write a table; compressed with zstd, or not at all."""
@@ -48,3 +50,32 @@ def touch(table: DataFrame) -> DataFrame:
 def free_space(spark: SparkSession, path: str) -> int:
     files, place = _file_system(spark, path)
     return files.getStatus(place).getRemaining()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def set_kind(spark: SparkSession, path: str, kind: str) -> None:
+    """Note what a stored table holds, in a file beside its parts that readers skip."""
+    files, place = _file_system(spark, f"{path}/_kind")
+    out = files.create(place, True)
+    out.write(bytearray(kind.encode()))
+    out.close()
+
+
+def kind(spark: SparkSession, path: str) -> str | None:
+    """What was noted, or None."""
+    files, place = _file_system(spark, f"{path}/_kind")
+    if not files.exists(place):
+        return None
+    read = files.open(place)
+    try:
+        return bytes(read.readAllBytes()).decode()
+    finally:
+        read.close()
+
+
+def version() -> str:
+    return manyfold.__version__

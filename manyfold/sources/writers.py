@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manyfold.operators.storage import materialise
+
 #: Columns of a search report by default.
 DEFAULT_COLUMNS = "query,target,fident,alnlen,mismatch,gapopen,qstart,qend,tstart,tend,evalue,bits"
 #: What the columns of a report are made of, besides those of the hits: a join is made only for what is asked.
@@ -134,12 +136,22 @@ def tar_members(table: DataFrame, name: str, content: str) -> DataFrame:
     return table.select("key", packed(F.col(name), F.col(content)).alias("value"))
 
 
-def write_tar(table: DataFrame, path: str, name: str, content: str) -> None:
-    """One archive on the driver's disk, written member by member in the order of keys; the format is a single file."""
-    with open(path, "wb") as out:
-        for row in tar_members(table, name, content).orderBy("key").toLocalIterator():
+def write_tar(table: DataFrame, path: str, name: str, content: str, members: int = 100_000) -> None:
+    """Archives of about ``members`` entries each, ``part-N.tar`` below ``path``, on whatever file system the path names.
+
+    Entries are dealt by a hash of their key.  The driver passes one archive's members on at a time and holds a few of them.
+    """
+    spark = table.sparkSession
+    parts = max(1, -(-table.count() // members))
+    packed = materialise(tar_members(table, name, content).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))))
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in range(parts):
+        out = files.create(place(f"{path}/part-{part:05d}.tar"), True)
+        for row in packed.where(F.col("part") == part).sortWithinPartitions("key").toLocalIterator():
             out.write(row["value"])
-        out.write(b"\0" * 1024)
+        out.write(bytearray(1024))
+        out.close()
 
 
 def unpack(table: DataFrame, path: str, name: str = "key", content: str = "seq") -> None:
