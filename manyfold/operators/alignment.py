@@ -74,6 +74,20 @@ def _step(s: Scoring, pairs: np.ndarray, above: np.ndarray, down: np.ndarray, ra
     return best, down, across
 
 
+class _Rows(dict):
+    """Scores of a query letter with the target, made when first asked for; only letters that can come again are kept."""
+
+    def __init__(self, s: Scoring, target: np.ndarray):
+        super().__init__()
+        self.scoring, self.target = s, target
+
+    def __missing__(self, letter: int) -> np.ndarray:
+        row = self.scoring.row(letter, self.target)
+        if len(self) < 256:
+            self[letter] = row
+        return row
+
+
 def smith_waterman(query: np.ndarray, target: np.ndarray, s: Scoring | None = None) -> tuple[int, int, int, int, int, str]:
     """``(score, qstart, qend, tstart, tend, path)`` of the best local alignment; the first end in the query, then the target.
 
@@ -85,7 +99,7 @@ def smith_waterman(query: np.ndarray, target: np.ndarray, s: Scoring | None = No
         return 0, -1, -1, -1, -1, ""
     ramp = np.arange(m, dtype=np.int32) * np.int32(s.extend)
     above, down = np.zeros(m + 1, np.int32), np.full(m, LOW, np.int32)
-    profile = {x: s.row(x, target) for x in np.unique(query).tolist()}
+    profile = _Rows(s, target)
     letters = query.tolist()
     kept, best, end = {}, 0, (-1, -1)
     every = max(ROWS, int(math.isqrt(n)))
@@ -198,13 +212,14 @@ def aligned_column(query: Column, target: Column, residues: int, scoring: Scorin
     return aligned(query, target)
 
 
-def align(pairs: DataFrame, queries: DataFrame, targets: DataFrame, most_evalue: float = 0.001, least_identity: float = 0.0, least_coverage: float = 0.0, least_length: int = 0, most_accepted: int | None = None, most_rejected: int | None = None, scoring: Scoring | None = None) -> DataFrame:
+def align(pairs: DataFrame, queries: DataFrame, targets: DataFrame, most_evalue: float = 0.001, least_identity: float = 0.0, least_coverage: float = 0.0, least_length: int = 0, most_accepted: int | None = None, most_rejected: int | None = None, scoring: Scoring | None = None, residues: int | None = None) -> DataFrame:
     """Align candidate pairs ``(key, target, score)`` and keep those that meet the criteria (a sequence with itself always does).
 
     Candidates are tried in the order of their score; with ``most_accepted`` or ``most_rejected`` an entry ends after so
     many acceptances, or so many rejections in a row.
     """
-    residues = int(targets.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0])
+    if residues is None:  # of the targets; a part of them can be given the number of the whole
+        residues = int(targets.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0])
     texts = pairs.select("key", "target", F.col("score").alias("__given")).join(queries.select("key", F.col("seq").alias("__q")), "key").join(targets.select(F.col("key").alias("target"), F.col("seq").alias("__t")), "target")
     # pairs are dealt evenly, as a query may have most of them
     dealt = texts.repartition("key", "target")
@@ -285,9 +300,11 @@ def expand_alignments(first: DataFrame, second: DataFrame) -> DataFrame:
         return pa.array(out, pa.struct([("qstart", pa.int64()), ("tstart", pa.int64()), ("cigar", pa.string()), ("qend", pa.int64()), ("tend", pa.int64())]))
 
     joined = left.join(right, "via").select("key", "target", "via", composed(F.col("a"), F.col("b1"), F.col("c1"), F.col("b2"), F.col("c"), F.col("c2")).alias("x")).where("x is not null").select("key", "target", "via", "x.*")
-    order = Window.partitionBy("key", "target").orderBy("via", "qstart", "tstart").rowsBetween(Window.unboundedPreceding, -1)
-    clash = (F.max("qend").over(order) >= F.col("qstart")) & (F.min("qstart").over(order) <= F.col("qend"))
-    return joined.withColumn("__clash", F.coalesce(clash, F.lit(False))).where("not __clash").select("key", "target", "via", "qstart", "qend", "tstart", "tend", "cigar")
+    # a pair's compositions in order: one is taken when it meets no interval that was taken before
+    fields = ("via", "qstart", "tstart", "qend", "tend", "cigar")
+    rows = joined.groupBy("key", "target").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__r"))
+    free = "aggregate(__r, slice(__r, 1, 0), (a, x) -> case when exists(a, y -> y.qstart <= x.qend and x.qstart <= y.qend) then a else concat(a, array(x)) end)"
+    return rows.select("key", "target", F.inline(F.expr(free))).select("key", "target", "via", "qstart", "qend", "tstart", "tend", "cigar")
 
 
 def forward_backward(query: np.ndarray, target: np.ndarray, s: Scoring | None = None, temperature: float = 1.0) -> np.ndarray:

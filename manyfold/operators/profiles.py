@@ -6,6 +6,8 @@ sequence (``-`` for a gap), so profiles are plain aggregations by place and lett
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +116,43 @@ def pick_representative(scored: DataFrame) -> DataFrame:
     return scored.groupBy("key").agg(F.min(order)["m"].alias("member"))
 
 
+def filter_msa(rows: DataFrame, least_coverage: float = 0.0, least_identity: float = 0.0, most_identity: float = 0.9, least_score: float = -50.0, diff: int = 0, match: float = 2.0, mismatch: float = -1.0) -> DataFrame:
+    """``(key, member)``: alignment rows ``(key, member, row)`` without what is alike, the key's own row always kept.
+
+    A member must cover the key's letters, resemble it, and score ``least_score`` a column with it at least.  Then members are taken
+    from the longest on (ties: the smaller id) when their identity with each one taken so far is at most ``most_identity``.
+    With ``diff``, the bound starts low and rises in steps until so many rows are taken (or ``most_identity`` is reached), so the most
+    different rows come first.  An entry's rows are one alignment, as wide as the key and as long as the search's best hits.
+    """
+
+    def chosen(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("member").reset_index(drop=True)
+        width = max(map(len, table["row"]), default=0)
+        codes = np.array([np.frombuffer(r.ljust(width, "-").encode("utf-32-le"), np.int32) for r in table["row"]]).reshape(len(table), width)
+        letters = codes != ord("-")
+        own = table.index[table["member"] == key[0]]
+        first = int(own[0]) if len(own) else int(letters.sum(1).argmax())
+        both = letters & letters[first]
+        same = (both & (codes == codes[first])).sum(1)
+        size = np.maximum(1, both.sum(1))
+        good = (both.sum(1) >= least_coverage * letters[first].sum()) & (same >= least_identity * size) & (same * match + (both.sum(1) - same) * mismatch >= least_score * size)
+        order = [i for i in sorted(range(len(table)), key=lambda i: (-letters[i].sum(), i)) if good[i] and i != first]
+        taken = [first]
+        bounds = [most_identity] if not diff else [b for b in np.arange(min(0.3, most_identity), most_identity, 0.05)] + [most_identity]
+        for bound in bounds:
+            for i in order:
+                if i not in taken:
+                    shared = letters[taken] & letters[i]
+                    alike = (shared & (codes[taken] == codes[i])).sum(1) / np.maximum(1, shared.sum(1))
+                    if (alike <= bound).all():
+                        taken.append(i)
+            if diff and len(taken) >= diff:
+                break
+        return pd.DataFrame({"key": key[0], "member": table["member"].iloc[sorted(taken)]})
+
+    return rows.groupBy("key").applyInPandas(chosen, "key long, member long")
+
+
 def filter_members(star: DataFrame, least_coverage: float = 0.0, least_identity: float = 0.0, most_identity: float = 1.0) -> DataFrame:
     """``(key, member, coverage, identity)`` of members that cover and resemble the key enough, without repeats.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manyfold.functions import sequence
-from manyfold.operators import alignment, candidates, clustering, hierarchy, hits, keyed, profiles
+from manyfold.operators import alignment, candidates, clustering, hierarchy, hits, keyed, profile_search, profiles
 from manyfold.operators.storage import materialise
 
 
@@ -24,10 +24,10 @@ class SearchOptions:
     least_coverage: float = 0.0
 
 
-def search(queries: DataFrame, targets: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+def search(queries: DataFrame, targets: DataFrame, options: SearchOptions = SearchOptions(), residues: int | None = None) -> DataFrame:
     """Candidates on shared diagonals, aligned with gaps, best first: ``(key, pos, target, score, ...)``."""
     pairs = candidates.match_diagonals(queries, targets, options.k, most=options.most_hits, least_score=options.least_score)
-    found = alignment.align(pairs, queries, targets, options.most_evalue, options.least_identity, options.least_coverage)
+    found = alignment.align(pairs, queries, targets, options.most_evalue, options.least_identity, options.least_coverage, residues=residues)
     return keyed.renumber(found.withColumn("pos", F.lit(0).cast("long")), [F.col("evalue"), F.desc("score"), "tlen", "target"])
 
 
@@ -80,6 +80,63 @@ def iterative_search(queries: DataFrame, targets: DataFrame, rounds: int = 2, op
     return keyed.renumber(known, [F.col("evalue"), F.desc("score"), "tlen", "target"])
 
 
+def search_in_slices(queries: DataFrame, targets: DataFrame, slices: int, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """As ``search``, target slice by slice, each cut through a shared table; the best hits over all slices stay."""
+    found, residues = None, int(targets.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0])
+    for i in range(slices):
+        part = materialise(search(queries, targets.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i), options, residues))
+        found = part if found is None else found.unionByName(part)
+    ranked = keyed.renumber(found, [F.col("evalue"), F.desc("score"), "tlen", "target"])
+    return ranked.where(F.col("pos") <= options.most_hits)
+
+
+# --- profiles
+
+
+def profile_scores(found: DataFrame, queries: DataFrame, targets: DataFrame, background: DataFrame) -> DataFrame:
+    """``(key, place, letter, score)`` of each query with its hits ``found``, aligned with gaps."""
+    own = queries.select("key", F.col("key").alias("target"), F.lit(0).cast("long").alias("qstart"), (F.length("seq") - 1).cast("long").alias("qend"), F.lit(0).cast("long").alias("tstart")).where("qend >= 0")
+    star = materialise(profiles.star_gapped(found, targets).unionByName(profiles.star_ungapped(own, queries, with_key=False)))
+    return profiles.log_odds(profiles.frequencies(star, profiles.weights(star)), background)
+
+
+def search_profiles(scores: DataFrame, targets: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """Profiles in target sequences: candidates by the consensus, aligned by all scores; numbered from the best on."""
+    top = scores.groupBy("key", "place").agg(F.min(F.struct((-F.col("score")).alias("s"), "letter"))["letter"].alias("letter"))
+    seq = top.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "letter"))), lambda x: x["letter"]), "").alias("seq"))
+    consensus = materialise(seq)
+    pairs = candidates.match_diagonals(consensus, targets, options.k, most=options.most_hits, least_score=options.least_score)
+    found = profile_search.align_profiles(pairs, materialise(profile_search.pack(scores)), targets, options.most_evalue, options.least_coverage)
+    return keyed.renumber(found.withColumn("pos", F.lit(0).cast("long")), [F.col("evalue"), F.desc("score"), "tlen", "target"])
+
+
+def search_target_profiles(queries: DataFrame, scores: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """Sequences in target profiles: the profiles are searched in the sequences and the hits changed over."""
+    found = profile_search.transposed(search_profiles(scores, queries, options).drop("pos"))
+    return keyed.renumber(found.withColumn("pos", F.lit(0).cast("long")), [F.col("evalue"), F.desc("score"), "tlen", "target"])
+
+
+def iterative_profile_search(queries: DataFrame, targets: DataFrame, background: DataFrame, rounds: int = 3, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """A search whose hits become each query's profile, which is searched again; targets found in an earlier round keep their alignment.
+
+    A round's new hits are those of targets that the query had not reached; rounds end early when there is none.
+    """
+    known = materialise(search(queries, targets, options))
+    for _ in range(rounds - 1):
+        scores = materialise(profile_scores(known, queries, targets, background))
+        again = search_profiles(scores, targets, options).join(known.select("key", "target"), ["key", "target"], "left_anti")
+        fresh = materialise(again.select(*known.columns))
+        if fresh.isEmpty():
+            break
+        known = materialise(known.unionByName(fresh))
+    return keyed.renumber(known, [F.col("evalue"), F.desc("score"), "tlen", "target"])
+
+
+def expand_profiles(first: DataFrame, second: DataFrame, queries: DataFrame, targets: DataFrame, background: DataFrame) -> DataFrame:
+    """``(key, place, letter, score)``: alignments composed through their middle become the key's profile."""
+    return profile_scores(alignment.expand_alignments(first, second), queries, targets, background)
+
+
 # --- clustering
 
 
@@ -100,8 +157,11 @@ def linear_cluster(table: DataFrame, k: int = 12, per_sequence: int = 21, least_
     return clustering.merge_clusters(same, chosen)
 
 
-def cascaded_cluster(table: DataFrame, k: int = 12, least_identity: float = 0.8, least_coverage: float = 0.8, steps: int = 3, least_score: int = 40) -> DataFrame:
-    """``(rep, member)``: a linear step, then searches among its representatives with gapped alignment, merged."""
+def cascaded_cluster(table: DataFrame, k: int = 12, least_identity: float = 0.8, least_coverage: float = 0.8, steps: int = 3, least_score: int = 40, reassign: bool = False) -> DataFrame:
+    """``(rep, member)``: a linear step, then searches among its representatives with gapped alignment, merged.
+
+    Merged steps can leave members that don't meet the criteria with their last representative; ``reassign`` moves these.
+    """
     clusters = materialise(linear_cluster(table, k, 21, least_identity, least_coverage))
     for step in range(steps):
         reps = materialise(table.join(clusters.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"))
@@ -112,7 +172,29 @@ def cascaded_cluster(table: DataFrame, k: int = 12, least_identity: float = 0.8,
         edges = materialise(aligned.select(F.col("key").alias("src"), F.col("target").alias("dst"), "score"))
         nodes = reps.select("key", F.length("seq").cast("long").alias("length"))
         clusters = materialise(clustering.merge_clusters(clusters, clustering.set_cover(nodes, edges)))
-    return clusters
+    return reassigned(clusters, table, max(6, k - 2 * steps), least_identity, least_coverage) if reassign else clusters
+
+
+def reassigned(clusters: DataFrame, table: DataFrame, k: int = 12, least_identity: float = 0.8, least_coverage: float = 0.8) -> DataFrame:
+    """``(rep, member)``: members that aren't near their representative go to the one they match best, or are clustered by themselves."""
+    own = clusters.where("rep != member").select(F.col("rep").alias("key"), F.col("member").alias("target"), F.lit(0).alias("score"))
+    good = materialise(alignment.align(own, table, table, least_identity=least_identity, least_coverage=least_coverage).select(F.col("key").alias("rep"), F.col("target").alias("member")))
+    kept = good.unionByName(clusters.where("rep = member"))
+    loose = materialise(table.join(kept.select(F.col("member").alias("key")), "key", "left_anti"))
+    reps = materialise(table.join(clusters.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"))
+    pairs = candidates.search_kmers(loose, candidates.kmer_index(reps, k, 40), k, 40)
+    found = alignment.align(pairs.select("key", "target", "score"), loose, reps, least_identity=least_identity, least_coverage=least_coverage)
+    moved = materialise(found.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "target"))["target"].alias("rep")).select("rep", F.col("key").alias("member")))
+    rest = materialise(loose.join(moved.select(F.col("member").alias("key")), "key", "left_anti"))
+    return kept.unionByName(moved).unionByName(linear_cluster(rest, k, 40, least_identity, least_coverage))
+
+
+def align_and_cluster(pairs: DataFrame, table: DataFrame, least_identity: float = 0.8, least_coverage: float = 0.8, mode: str = "set_cover") -> DataFrame:
+    """``(rep, member)``: candidate pairs aligned with gaps and clustered at once."""
+    found = alignment.align(pairs, table, table, least_identity=least_identity, least_coverage=least_coverage)
+    edges = materialise(found.where("key != target").select(F.col("key").alias("src"), F.col("target").alias("dst"), "score"))
+    nodes = table.select("key", F.length("seq").cast("long").alias("length"))
+    return {"set_cover": clustering.set_cover, "greedy": clustering.greedy_by_length, "component": clustering.by_component}[mode](nodes, edges)
 
 
 def update_clusters(old: DataFrame, new: DataFrame, clusters: DataFrame, k: int = 12, per_sequence: int = 21, least_identity: float = 0.9, least_coverage: float = 0.8) -> DataFrame:
@@ -141,9 +223,14 @@ def update_clusters(old: DataFrame, new: DataFrame, clusters: DataFrame, k: int
 # --- hierarchy and sets
 
 
-def assign_taxa(queries: DataFrame, targets: DataFrame, mapping: DataFrame, nodes: DataFrame, mode: str = "lca", options: SearchOptions = SearchOptions()) -> DataFrame:
-    """``(key, taxid, rank, name)`` of each query by its hits, as ``assigned_taxa`` says."""
+def assign_taxa(queries: DataFrame, targets: DataFrame, mapping: DataFrame, nodes: DataFrame, mode: str = "region", options: SearchOptions = SearchOptions()) -> DataFrame:
+    """``(key, taxid, rank, name)`` of each query by its hits: ``region`` (hits of the best hit's region), or as ``assigned_taxa`` says."""
     found = materialise(search(queries, targets, options))
+    if mode == "region":
+        # the region of the best hit decides which others count, as they have to match it as well as the best one does
+        again = alignment.align_top_region(found.select("key", "target", "score"), queries, targets, most_evalue=options.most_evalue)
+        found = keyed.renumber(again.withColumn("pos", F.lit(0).cast("long")), [F.col("evalue"), F.desc("score"), "target"])
+        mode = "lca"
     return assigned_taxa(found, queries, mapping, nodes, mode)
 
 
@@ -168,10 +255,10 @@ def search_sets(queries: DataFrame, targets: DataFrame, query_sets: DataFrame, t
 
 
 def enrich_profiles(queries: DataFrame, targets: DataFrame, background: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """``(key, place, letter, score)``: log odds of each query's hits and the hits of those hits, aligned with gaps."""
-    found = materialise(iterative_search(queries, targets, 2, options))
-    star = materialise(profiles.star_gapped(found, targets).unionByName(profiles.star_ungapped(found, queries).where("key = member")))
-    return profiles.log_odds(profiles.frequencies(star, profiles.weights(star)), background)
+    """``(key, place, letter, score)``: each query's profile after an iterative search and the hits of its hits, aligned with gaps."""
+    near = materialise(iterative_profile_search(queries, targets, background, 2, options))
+    far = iterative_search(queries, targets, 2, options).join(near.select("key", "target"), ["key", "target"], "left_anti")
+    return profile_scores(near.unionByName(far.select(*near.columns)), queries, targets, background)
 
 
 def pick_consensus(clusters: DataFrame, table: DataFrame, background: DataFrame, k: int = 12) -> DataFrame:

@@ -77,6 +77,11 @@ def read_keyed_tsv(spark: SparkSession, path: str | list[str], columns: list[str
     return lines.withColumn("pos", F.row_number().over(order).cast("long")).select("key", "pos", *columns)
 
 
+def read_expandable(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sequences ``(key, pos, seq)``, headers ``(key, pos, header)`` and alignments ``(key, pos, line)`` of ``<path>_seq``, ``_h`` and ``_aln``, tab-separated."""
+    return tuple(read_keyed_tsv(spark, f"{path}_{part}", [name]) for part, name in (("seq", "seq"), ("h", "header"), ("aln", "line")))
+
+
 def read_gff(spark: SparkSession, path: str | list[str], features: list[str] | None = None) -> DataFrame:
     """GFF3 rows ``(accession, feature, start, stop, strand, attributes)`` with nine columns; 1-based, closed."""
     parts = F.split("value", "\t", -1)

@@ -17,6 +17,11 @@ def save_index(table: DataFrame, name: str, column: str = "kmer", buckets: int =
     table.write.mode("overwrite").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
 
 
+def append_to_index(table: DataFrame, name: str) -> None:
+    """Add rows to a stored index; they are bucketed as it is."""
+    table.select(*table.sparkSession.table(name).columns).write.mode("append").insertInto(name)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
