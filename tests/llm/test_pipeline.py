@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_op1 import BASE, brute as personal
 from test_op3 import brute as contaminated
-from test_op4 import brute as components
+from test_shingle_dedup import brute as components
 
 import corpus_pipeline
 from manyfold.llm import op2_quality, op9_mixing
@@ -35,14 +35,13 @@ def test_quality_keeps_what_the_model_likes(spark, steps):
     rows = {r[0]: make(r[1].encode()) for r in steps[0]}
     model = op2_quality.fit([(graded[d], rows[d][0], rows[d][1].astype(np.float32).astype(float)) for d in graded if d in rows])
     kept = {r[0] for r in steps[1]}
-    chance = {d: model.tails(*f)[0] for d, f in rows.items()}
+    chance = {d: model.tails(*f)[op2_quality.LEAST_GRADE - 1] for d, f in rows.items()}
     assert all((c >= 0.5) == (d in kept) for d, c in chance.items() if abs(c - 0.5) > 0.02)
-    assert set(steps[1]) <= set(steps[0]) and sum(graded[d] > 0 for d in graded if d in kept) > 0.98 * sum(g > 0 for g in graded.values())
+    assert set(steps[1]) <= set(steps[0]) and sum(graded[d] == 2 for d in graded if d in kept) > 0.98 * sum(g == 2 for g in graded.values())
 
 
 def test_one_of_each_group_stays(steps):
-    parts = components([(r[0], r[1]) for r in steps[1]])
-    assert {r[0] for r in steps[2]} == {part for _, _, part in parts} and set(steps[2]) <= set(steps[1])
+    assert {r[0] for r in steps[2]} == set(components([(r[0], r[1]) for r in steps[1]])) and set(steps[2]) <= set(steps[1])
 
 
 def test_benchmark_passages_go(steps):
