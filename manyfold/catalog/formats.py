@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from manyfold.catalog import Catalog
 from manyfold.catalog.reports import LINEAR
 from manyfold.catalog.similarity import CENTRES, K, M, ODDS, STAR, _background, _cover, _lowest, _star, _words
-from manyfold.catalog.tables import NUCL, SEQS, TAXA, nucl, seqs, table, taxa
-from manyfold.operators import alignment, candidates, external, profiles
+from manyfold.catalog.tables import NUCL, QUERIES, SEQS, TAXA, nucl, queries, seqs, table, taxa
+from manyfold.operators import alignment, candidates, external, profile_search, profiles
 from manyfold.operators.storage import materialise, shared_dir
 from manyfold.plans import files, workflows
 from manyfold.sources import readers, tables, writers
@@ -317,3 +317,170 @@ def _(spark, d):
     out = files.easy_linear_cluster(spark, path, _folder(spark))
     parts = F.split("value", "\t")
     return spark.read.text(out["clusters"]).select(parts[0].alias("rep"), parts[1].alias("member"))
+
+
+def _fasta(spark, d, name: str, prefix: str) -> str:
+    """A FASTA file of the letters of ``documents`` or ``benchmark``; names are the prefix and the id."""
+    made = seqs(spark, d) if name == "documents" else queries(spark, d)
+    return _written(writers.fasta(made, made.select("key", F.concat(F.lit(prefix), F.col("key").cast("string")).alias("header"))))
+
+
+def _lines(spark, path: str, *columns: str) -> DataFrame:
+    parts = F.split("value", "\t")
+    return spark.read.text(path).select(*[parts[i].alias(c) for i, c in enumerate(columns)])
+
+
+@add("easy_linsearch")
+def _(spark, d):
+    out = files.easy_linear_search(spark, _fasta(spark, d, "benchmark", "b"), _fasta(spark, d, "documents", "d"), _folder(spark), "query,target,alnlen,raw")
+    return _lines(spark, out, "query", "target", "alnlen", "raw")
+
+
+@add("easy_taxonomy")
+def _(spark, d):
+    path = _folder(spark)
+    writers.taxonomy_dump(taxa(spark, d), path)
+    taxon = F.expr("case lang when 'en' then 123 when 'fr' then 106 when 'de' then 107 else 102 end")
+    mapping = table(spark, d, "documents").select(F.concat_ws("\t", F.concat(F.lit("d"), F.col("doc_id").cast("string")), taxon.cast("string")).alias("value"))
+    found = files.easy_taxonomy(spark, _fasta(spark, d, "benchmark", "b"), _fasta(spark, d, "documents", "d"), _written(mapping), f"{path}/nodes", f"{path}/names", f"{path}/out")
+    return _lines(spark, found["lca"], "name", "taxid", "rank", "taxon")
+
+
+def _set_files(spark, d) -> list[str]:
+    """One FASTA file a language."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang")
+    letters = materialise(seqs(spark, d).join(docs, "key"))
+    return [_written(writers.fasta(letters.where(F.col("lang") == lang).select("key", "seq"), letters.select("key", F.concat(F.lit("d"), F.col("key").cast("string")).alias("header")))) for lang in ("de", "en", "es", "fr")]
+
+
+@add("multihitdb", "select 'd' || doc_id as accession, lang from documents")
+def _(spark, d):
+    paths = _set_files(spark, d)
+    read, sets = files.set_tables(spark, [f"{p}/part-*" for p in paths])
+    folders = spark.createDataFrame([(p.rsplit("/", 1)[1], lang) for p, lang in zip(paths, ("de", "en", "es", "fr"), strict=True)], "folder string, lang string")
+    named = read.lookup.join(sets, "key").withColumn("folder", F.regexp_extract("file", "([^/]+)/part-[^/]*$", 1))
+    return named.join(folders, "folder").select("accession", "lang")
+
+
+@add("easy_proteomecluster")
+def _(spark, d):
+    return _lines(spark, files.easy_proteome_cluster(spark, [f"{p}/part-*" for p in _set_files(spark, d)], _folder(spark), 0.1), "rep", "member", "shared", "share")
+
+
+@add("easy_proteomesearch")
+def _(spark, d):
+    own = _fasta(spark, d, "benchmark", "b")
+    return _lines(spark, files.easy_proteome_search(spark, [own], [f"{p}/part-*" for p in _set_files(spark, d)], _folder(spark)), "query_set", "target_set", "share")
+
+
+@add("easy_cluster")
+def _(spark, d):
+    out = files.easy_cluster(spark, _fasta(spark, d, "documents", "d"), _folder(spark), steps=1)
+    return _lines(spark, out["clusters"], "rep", "member")
+
+
+@add("appenddbtoindex", f"with {SEQS}, {_words('w', 'seqs')}, {_lowest('low', 'w')}, {CENTRES} select * from centres union all select kmer, -centre, centre_length, centre_place from centres")
+def _(spark, d):
+    name = f"index_{uuid.uuid4().hex}"
+    index = materialise(candidates.kmer_index(seqs(spark, d), K, M))
+    tables.save_index(index, name, "kmer", 8)
+    tables.append_to_index(index.withColumn("centre", -F.col("centre")), name)
+    return spark.table(name)
+
+
+@add("tsv2exprofiledb", f"with {SEQS} select key::varchar as key, seq, source as header, lang as line from seqs join documents on doc_id = key where seq <> ''")
+def _(spark, d):
+    path = _folder(spark)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source", "lang").join(seqs(spark, d), "key").where("seq != ''")
+    for part, column in (("seq", "seq"), ("h", "source"), ("aln", "lang")):
+        writers.write_text(docs.select(F.concat_ws("\t", F.col("key").cast("string"), column).alias("value")), f"{path}_{part}")
+    sequences, headers, lines = readers.read_expandable(spark, path)
+    return sequences.select("key", "seq").join(headers.select("key", "header"), "key").join(lines.select("key", "line"), "key")
+
+
+# --- profile searches and what is made of alignments
+
+
+def _pairs(spark, d):
+    return candidates.match_diagonals(queries(spark, d), seqs(spark, d), 12, least_score=40)
+
+
+def _found(spark, d) -> DataFrame:
+    return materialise(alignment.align(_pairs(spark, d), queries(spark, d), seqs(spark, d)))
+
+
+def _scores(spark, d) -> DataFrame:
+    return materialise(workflows.profile_scores(_found(spark, d), queries(spark, d), seqs(spark, d), materialise(_background(spark, d))))
+
+
+@add("search_profile")
+def _(spark, d):
+    return workflows.search_profiles(_scores(spark, d), seqs(spark, d)).select("key", "pos", "target", "score", "cigar")
+
+
+@add("search_targetprofile")
+def _(spark, d):
+    return workflows.search_target_profiles(seqs(spark, d), _scores(spark, d)).select("key", "pos", "target", "score", "cigar")
+
+
+@add("search_iterative")
+def _(spark, d):
+    return workflows.iterative_profile_search(queries(spark, d), seqs(spark, d), materialise(_background(spark, d)), 2).select("key", "pos", "target", "score")
+
+
+@add("search_sliced")
+def _(spark, d):
+    return workflows.search_in_slices(queries(spark, d), seqs(spark, d), 3).select("key", "pos", "target", "score")
+
+
+@add("enrich")
+def _(spark, d):
+    return workflows.enrich_profiles(queries(spark, d), seqs(spark, d), materialise(_background(spark, d)))
+
+
+@add("expand2profile")
+def _(spark, d):
+    first = _found(spark, d)
+    back = first.select(F.col("target").alias("key"), F.col("key").alias("target"), F.col("tstart").alias("qstart"), F.col("qstart").alias("tstart"), F.translate("cigar", "ID", "DI").alias("cigar"))
+    return workflows.expand_profiles(first, back, queries(spark, d), queries(spark, d), materialise(_background(spark, d)))
+
+
+@add("sequence2profile", f"with {SEQS}, {QUERIES}, bg as (select letter, count(*) / sum(count(*)) over () as p from (select unnest(string_split(seq, '')) as letter from seqs where seq <> '') group by 1), own as (select key, unnest(range(0, length(seq))) as place, unnest(string_split(seq, '')) as own from queries where seq <> '') select key, place, letter, greatest(least(round(log2(((1 - least(1.0, 1.1 / (1 + 1 / 4.1))) * case when own = letter then 1 else 0 end + least(1.0, 1.1 / (1 + 1 / 4.1)) * p) / p) * 8), 127), -128)::int as score from own cross join bg")
+def _(spark, d):
+    none = spark.createDataFrame([], "key long, target long, qstart long, tstart long, cigar string")
+    return workflows.profile_scores(none, queries(spark, d), seqs(spark, d), materialise(_background(spark, d)))
+
+
+@add("filtera3m")
+def _(spark, d):
+    return profiles.filter_msa(profiles.msa_rows(_star(spark, d), seqs(spark, d)), most_identity=0.9)
+
+
+@add("extractdomains", f"with {STAR}, placed as (select key, member, place, letter, row_number() over (partition by key, member order by place) - 1 as nth from star), k as (select key, place, letter as own from star where key = member) select key, member, 1::bigint as domain, min(nth) as start, max(nth) as stop, count(*) as letters, avg((letter = own)::int) as identity from placed join k using (key, place) where place between 10 and 39 group by key, member")
+def _(spark, d):
+    star = _star(spark, d)
+    domains = star.select("key").distinct().select("key", F.lit(1).cast("long").alias("domain"), F.lit(10).cast("long").alias("qstart"), F.lit(39).cast("long").alias("qend"))
+    return profile_search.extract_domains(domains, star)
+
+
+@add("align2clust")
+def _(spark, d):
+    pairs = candidates.match_kmers(seqs(spark, d), K, M, share=0.5).where("score >= 5")
+    return workflows.align_and_cluster(pairs, seqs(spark, d))
+
+
+@add("cluster_reassigned")
+def _(spark, d):
+    return workflows.reassigned(workflows.linear_cluster(seqs(spark, d), mode="component"), seqs(spark, d))
+
+
+@add("pickconsensusrep")
+def _(spark, d):
+    clusters = materialise(workflows.linear_cluster(seqs(spark, d)))
+    return workflows.pick_consensus(clusters, seqs(spark, d), materialise(_background(spark, d)))
+
+
+@add("fwbw")
+def _(spark, d):
+    best = _pairs(spark, d).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "target"))["target"].alias("target"))
+    return alignment.posterior_pairs(best, queries(spark, d), seqs(spark, d))

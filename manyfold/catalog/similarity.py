@@ -137,6 +137,33 @@ def _(spark, d):
 # --- alignment
 
 
+def _aligned(before: str, pairs: str, first: str, second: str) -> str:
+    """SQL for gapped local alignment of ``pairs`` (key, target), as a table ``aligned`` with score and ends: a step for each query letter.
+
+    A cell keeps its best score so far and the query place where that was first reached.
+    """
+    return f"""with recursive {before}, p as (select distinct d.key, d.target, a.seq as q, b.seq as t from {pairs} d join {first} a on a.key = d.key join {second} b on b.key = d.target where a.seq <> '' and b.seq <> ''),
+  l as (select key, target, q, unnest(range(1, length(t) + 1))::int as j, unnest(string_split(t, '')) as c from p),
+  cell(key, target, j, i, h, down, top, place) using key (key, target, j) as (
+    select key, target, j, 0, 0, -1000000, 0, 0 from l
+    union
+    select key, target, j, i, greatest(r, across), down, greatest(top, r, across), case when greatest(r, across) > top then i else place end from
+      (select *, coalesce(max(r + 2 * j) over (partition by key, target order by j rows between unbounded preceding and 1 preceding) - 5 - 2 * (j - 1), -1000000) as across from
+        (select *, greatest(diag + case when c = substr(q, i, 1) then 2 else -1 end, down, 0) as r from
+          (select s.key, s.target, s.j, s.i + 1 as i, l.q, l.c, s.top, s.place, lag(s.h, 1, 0) over (partition by s.key, s.target order by s.j) as diag, greatest(s.h - 5, s.down - 2) as down
+            from cell s join l on l.key = s.key and l.target = s.target and l.j = s.j where s.i < length(l.q))))),
+  aligned as (select key, target, top::bigint as score, place::bigint - 1 as qend, j::bigint - 1 as tend from cell where top > 0 qualify row_number() over (partition by key, target order by top desc, place, j) = 1)"""
+
+
+CANDIDATES = _best_diagonals(_diagonals(12), 40)
+BITS = "floor((0.62092274139392822363 * score - ln(0.35177597988201619872)) / ln(2) + 0.5)::bigint"
+
+
+@add("align", f"{_aligned(CANDIDATES, 'found', 'queries', 'seqs')} select key, target, score, qend, tend, {BITS} as bits from aligned")
+def _(spark, d):
+    return alignment.align(_candidates(spark, d), queries(spark, d), seqs(spark, d)).select("key", "target", "score", "qend", "tend", "bits")
+
+
 def _candidates(spark, d):
     return candidates.match_diagonals(queries(spark, d), seqs(spark, d), 12, least_score=40)
 
