@@ -428,11 +428,6 @@ def _(spark, d):
     return workflows.iterative_profile_search(queries(spark, d), seqs(spark, d), materialise(_background(spark, d)), 2).select("key", "pos", "target", "score")
 
 
-@add("search_sliced")
-def _(spark, d):
-    return workflows.search_in_slices(queries(spark, d), seqs(spark, d), 3).select("key", "pos", "target", "score")
-
-
 @add("enrich")
 def _(spark, d):
     return workflows.enrich_profiles(queries(spark, d), seqs(spark, d), materialise(_background(spark, d)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from manyfold.catalog import Catalog
-from manyfold.catalog.similarity import BEST, CENTRES, _best_diagonals, _cover, _diagonals, _lowest, _stretches, _words
-from manyfold.catalog.tables import HITS, SEQS, hits, queries, seqs, table, taxa
+from manyfold.catalog.similarity import BEST, BITS, CANDIDATES, CENTRES, _aligned, _best_diagonals, _cover, _diagonals, _lowest, _stretches, _words
+from manyfold.catalog.tables import HITS, QUERIES, SEQS, TAXA, hits, queries, seqs, table, taxa
 from manyfold.operators import clustering
 from manyfold.operators.candidates import kmer_index
 from manyfold.plans import workflows
@@ -90,9 +90,28 @@ def _(spark, d):
     return workflows.map_near(queries(spark, d), seqs(spark, d))
 
 
-@add("linsearch")
+LINSEARCH = f"""{SEQS}, {QUERIES}, {_words('w', 'seqs')}, {_lowest('low', 'w', 12, 40)}, {CENTRES}, {_words('v', 'queries')}, {_lowest('own', 'v', 12, 40)},
+  pairs as (select key, centre as target, place - centre_place as diagonal from own join centres using (kmer)), first as ({BEST}), {_stretches('first', 'queries', 'seqs')}, likely as (select * from rescored where score >= 40)"""
+
+
+@add("linsearch", f"{_aligned(LINSEARCH, 'likely', 'queries', 'seqs')} select key, target, score, qend, tend, {BITS} as bits from aligned")
 def _(spark, d):
-    return workflows.linear_search(queries(spark, d), kmer_index(seqs(spark, d), 12, 40), seqs(spark, d), 12, 40)
+    found = workflows.linear_search(queries(spark, d), kmer_index(seqs(spark, d), 12, 40), seqs(spark, d), 12, 40)
+    return found.select("key", "target", "score", "qend", "tend", "bits")
+
+
+# of one query, e-values fall as scores rise
+SEARCH = f"{_aligned(CANDIDATES, 'found', 'queries', 'seqs')} select key, row_number() over (partition by key order by score desc, length(s.seq), target) as pos, target, score, qend, tend from aligned join (select key as target, seq from seqs) s using (target)"
+
+
+@add("search", SEARCH)
+def _(spark, d):
+    return workflows.search(queries(spark, d), seqs(spark, d)).select("key", "pos", "target", "score", "qend", "tend")
+
+
+@add("search_sliced", SEARCH)
+def _(spark, d):
+    return workflows.search_in_slices(queries(spark, d), seqs(spark, d), 3).select("key", "pos", "target", "score", "qend", "tend")
 
 
 # equal sequences first; then centres without gaps, among one sequence of each
@@ -125,10 +144,24 @@ def _(spark, d):
     return workflows.update_clusters(old, docs, clusters)
 
 
+def _languages(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("item"), (F.expr("case lang when 'en' then 23 when 'fr' then 6 when 'de' then 7 else 2 end") + 100).cast("long").alias("taxid"))
+
+
 @add("taxonomy")
 def _(spark, d):
-    mapping = table(spark, d, "documents").select(F.col("doc_id").alias("item"), (F.expr("case lang when 'en' then 23 when 'fr' then 6 when 'de' then 7 else 2 end") + 100).cast("long").alias("taxid"))
-    return workflows.assign_taxa(queries(spark, d), seqs(spark, d), mapping, taxa(spark, d))
+    return workflows.assign_taxa(queries(spark, d), seqs(spark, d), _languages(spark, d), taxa(spark, d))
+
+
+# the hierarchy has three levels: one nation, one region, or the root
+LCA = f"""{_aligned(f"{TAXA}, {CANDIDATES}", 'found', 'queries', 'seqs')}, v as (select a.key, x.taxid, x.parent from aligned a join documents d on d.doc_id = a.target join taxa x on x.taxid = 100 + case d.lang when 'en' then 23 when 'fr' then 6 when 'de' then 7 else 2 end),
+  g as (select key, case when count(distinct taxid) = 1 then any_value(taxid) when count(distinct parent) = 1 then any_value(parent) else 1 end as taxid from v group by key)
+  select q.key, coalesce(g.taxid, 0) as taxid, coalesce(rank, 'no rank') as rank, coalesce(name, 'unclassified') as name from queries q left join g using (key) left join taxa using (taxid)"""
+
+
+@add("taxonomy_lca", LCA)
+def _(spark, d):
+    return workflows.assign_taxa(queries(spark, d), seqs(spark, d), _languages(spark, d), taxa(spark, d), "lca")
 
 
 @add("multihitsearch")

@@ -184,7 +184,7 @@ def _(spark, d):
     first = materialise(alignment.align(_candidates(spark, d), queries(spark, d), seqs(spark, d)))
     # only what the first step reached is aligned onward
     reached = first.select(F.col("target").alias("key")).distinct()
-    second = alignment.align(_matched(spark, d).where("score >= 5").join(reached, "key", "left_semi"), seqs(spark, d), seqs(spark, d))
+    second = alignment.align(_matched(spark, d).join(reached, "key", "left_semi"), seqs(spark, d), seqs(spark, d))
     return alignment.expand_alignments(first, second)
 
 
@@ -363,7 +363,7 @@ def _(spark, d):
 
 @add("gapped_topn")
 def _(spark, d):
-    return alignment.scan_gapped(queries(spark, d), seqs(spark, d), 0.8)
+    return alignment.scan_gapped(queries(spark, d), seqs(spark, d), 0.3)
 
 
 @add("transitivealign")
