@@ -5,8 +5,9 @@ in no phrase can't be part of an occurrence, so the index holds the stretches be
 shortest phrase; that leaves out no occurrence.  All phrases are searched at once by wavelet ranks, occurrences are
 located by sampled positions and merged to removal spans.  There is no shuffle: documents stream past the phrases.
 
-The test phrases are a stated query set.  They are read to the driver in blocks of at most ``BLOCK_BYTES`` of text; each
-block is one broadcast of that bound and one narrow pass, whatever the number of blocks.
+The test phrases are a stated query set.  They are read to the driver in blocks of at most ``BLOCK_BYTES`` of text, and each is
+packed for a broadcast before the next is read.  A batch of documents passes the blocks one after another, so a worker
+holds one unpacked block; the packed ones, a few bytes a word, are what grows with the benchmark.
 
 Defined cases: a null text has no words and is clean; a null or wordless item matches nothing; repeated items count
 once by their id, items without an id count together as one with id ``null``; an empty benchmark leaves every document
@@ -16,7 +17,10 @@ clean; an empty table gives an empty result; rows that repeat are judged one by
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +43,10 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
+#: The block that a worker has unpacked, by its name.
+_unpacked: dict[str, Phrases] = {}
+
+
 class Phrases:
     """The windows of a block of items: word numbers from 2, one row for each distinct window, and its items."""
 
@@ -147,52 +155,59 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Phrase
         yield Phrases(block)
 
 
-def _scan_block(shared):
-    """A column function: what one broadcast block of phrases finds in a text."""
+def _shared(benchmark: DataFrame, id_col: str, text_col: str) -> list:
+    """A broadcast for each block of phrases, packed; the driver holds one block at a time."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast((uuid.uuid4().hex, zlib.compress(pickle.dumps(phrases), 1))) for phrases in _blocks(benchmark, id_col, text_col)]
 
-    @F.arrow_udf(FOUND)
-    def scan_block(texts: pa.Array) -> pa.Array:
-        rows = search(shared.value, texts.cast(pa.binary()).to_pylist())
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([n for n, _, _ in rows], pa.int64()),
-                pa.array([sum(b - a for a, b in spans) for _, spans, _ in rows], pa.int64()),
-                pa.array([items for _, _, items in rows], pa.list_(pa.string())),
-                pa.array([[a for a, _ in spans] for _, spans, _ in rows], pa.list_(pa.int64())),
-                pa.array([[b for _, b in spans] for _, spans, _ in rows], pa.list_(pa.int64())),
-            ],
-            names=["n_words", "n_hit", "items", "starts", "ends"],
-        )
 
-    return scan_block
+def _phrases(shared) -> Phrases:
+    """A broadcast block, unpacked; a worker keeps the one it used last, so a single block is unpacked once a worker."""
+    name, packed = shared.value
+    if name not in _unpacked:
+        _unpacked.clear()
+        _unpacked[name] = pickle.loads(zlib.decompress(packed))
+    return _unpacked[name]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _found_column(benchmark: DataFrame, text: Column, id_col: str, text_col: str) -> Column:
-    """A struct column with what all blocks of the benchmark find in ``text``."""
-    context = benchmark.sparkSession.sparkContext
-    blocks = [_scan_block(context.broadcast(phrases))(text) for phrases in _blocks(benchmark, id_col, text_col)]
-    if len(blocks) == 1:
-        return blocks[0]
-    if not blocks:
+    """A struct column with what all blocks of the benchmark find in ``text``; a batch of texts passes the blocks one after another."""
+    shared = _shared(benchmark, id_col, text_col)
+    if not shared:
         words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
         return F.struct(F.coalesce(words, F.lit(0)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *[F.array().cast(t).alias(n) for n, t in (("items", "array<string>"), ("starts", "array<long>"), ("ends", "array<long>"))])
 
     @F.arrow_udf(FOUND)
-    def merge(found: pa.Array) -> pa.Array:
-        out = []
-        for row in found.to_pylist():
-            parts = list(row.values())
-            spans: list[list[int]] = []
-            for a, b in sorted((a, b) for p in parts for a, b in zip(p["starts"], p["ends"], strict=True)):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(b, spans[-1][1])
-                else:
-                    spans.append([a, b])
-            items = sorted({i for p in parts for i in p["items"]})
-            out.append({"n_words": parts[0]["n_words"], "n_hit": sum(b - a for a, b in spans), "items": items, "starts": [a for a, _ in spans], "ends": [b for _, b in spans]})
-        return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
-
-    return merge(F.struct(*[b.alias(f"b{i}") for i, b in enumerate(blocks)]))
+    def scan_blocks(texts: pa.Array) -> pa.Array:
+        given = texts.cast(pa.binary()).to_pylist()
+        rows: list[tuple[int, list, set]] = [(0, [], set()) for _ in given]
+        for block in shared:
+            for i, (n, spans, items) in enumerate(search(_phrases(block), given)):
+                rows[i] = (n, rows[i][1] + spans, rows[i][2] | set(items))
+        merged = [_merged(spans) for _, spans, _ in rows]
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([n for n, _, _ in rows], pa.int64()),
+                pa.array([sum(b - a for a, b in spans) for spans in merged], pa.int64()),
+                pa.array([sorted(items) for _, _, items in rows], pa.list_(pa.string())),
+                pa.array([[a for a, _ in spans] for spans in merged], pa.list_(pa.int64())),
+                pa.array([[b for _, b in spans] for spans in merged], pa.list_(pa.int64())),
+            ],
+            names=["n_words", "n_hit", "items", "starts", "ends"],
+        )
+
+    return scan_blocks(text)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -200,38 +215,40 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col), _found_column(benchmark, F.col(text_col), item_id, item_text).alias("found"))
 
 
-def cut(phrases: list[Phrases], text: str) -> str:
-    """``text`` without the words of any occurrence, repeated until none is left (a cut can bring a phrase together)."""
-    while True:
-        spans: list[tuple[int, int]] = []
-        for block in phrases:
-            spans += search(block, [text.encode()])[0][1]
-        if not spans:
-            return text
-        places = [m.span() for m in WORD.finditer(text)]
-        kept, at = [], 0
-        for a, b in sorted(spans):
-            kept.append(text[at:max(at, places[a][0])])
-            at = max(at, places[b - 1][1])
-        text = " ".join(x for x in (*(k.strip(" ") for k in kept), text[at:].strip(" ")) if x)
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of ``spans``, what is left joined by blanks."""
+    places = [m.span() for m in WORD.finditer(text)]
+    kept, at = [], 0
+    for a, b in sorted(spans):
+        kept.append(text[at:max(at, places[a][0])])
+        at = max(at, places[b - 1][1])
+    return " ".join(x for x in (*(k.strip(" ") for k in kept), text[at:].strip(" ")) if x)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with benchmark passages cut out of the text; a document that has no word left after a cut goes.
 
-    Columns stay; ``n_chars``, where there is one, follows the new text.
+    A cut can bring a phrase together, so texts that were cut are searched again until none is found.  Columns stay;
+    ``n_chars``, where there is one, follows the new text.
     """
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(p) for p in _blocks(benchmark, item_id, item_text)]
+    shared = _shared(benchmark, item_id, item_text)
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array) -> pa.Array:
-        blocks = [s.value for s in shared]
-        raw = texts.cast(pa.binary()).to_pylist()
-        hit = {i for block in blocks for i, (_, spans, _) in enumerate(search(block, raw)) if spans}
-        new = [cut(blocks, raw[i].decode()) if i in hit else None for i in range(len(raw))]
-        gone = [t is not None and not WORD.search(t) for t in new]
-        return pa.array([None if g else t if t is not None else (r.decode() if r is not None else "") for t, r, g in zip(new, raw, gone, strict=True)], pa.string())
+        raw: list[bytes] = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        todo, changed = list(range(len(raw))), set()
+        while todo:
+            spans: list[list[tuple[int, int]]] = [[] for _ in todo]
+            for block in shared:
+                for i, (_, found, _) in enumerate(search(_phrases(block), [raw[k] for k in todo])):
+                    spans[i] += found
+            again = [k for k, own in zip(todo, spans, strict=True) if own]
+            for k, own in zip(todo, spans, strict=True):
+                if own:
+                    raw[k] = cut(raw[k].decode(), own).encode()
+            changed.update(again)
+            todo = again
+        return pa.array([None if i in changed and not WORD.search(r.decode()) else r.decode() for i, r in enumerate(raw)], pa.string())
 
     if not shared:
         return docs
