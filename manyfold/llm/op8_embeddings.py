@@ -181,11 +181,14 @@ def _blocks(classes: DataFrame, block: int) -> DataFrame:
 def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Rows ``(a, b, n)``: n linked rows of class a (b null), or a forest link between a and b (n null)."""
     blocks = materialise(_blocks(classes, block).withColumn("block", F.struct("q", "part")))
-    listed = blocks.groupBy("label", "dim").agg(F.collect_list(F.struct("block", "low", "high")).alias("others"))
+    # pairs of blocks are found among their bounds alone, a row a block; each block is then copied to the pairs it is in
     reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
-    met = F.filter("others", lambda o: (o["low"] - F.col("high") <= reach) & (F.col("low") - o["high"] <= reach))
-    pairs = F.transform(met, lambda o: F.struct(F.least("block", o["block"]).alias("one"), F.greatest("block", o["block"]).alias("two")))
-    spread = blocks.join(listed, ["label", "dim"]).select("label", "dim", "cls", "weight", "values", F.explode(pairs).alias("pair"))
+    bounds = materialise(blocks.select("label", "dim", "block", "low", "high"))
+    others = bounds.select("label", "dim", F.col("block").alias("two"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    near = (F.col("low2") - F.col("high") <= reach) & (F.col("low") - F.col("high2") <= reach)
+    met = bounds.withColumnRenamed("block", "one").join(others, ["label", "dim"]).where((F.col("one") <= F.col("two")) & near)
+    pairs = met.select("label", "dim", F.struct("one", "two").alias("pair"), F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    spread = pairs.join(blocks.select("label", "dim", "block", "cls", "weight", "values"), ["label", "dim", "block"]).select("label", "dim", "cls", "weight", "values", "pair")
     keyed = spread.select("label", "dim", F.col("pair.one.q").alias("q1"), F.col("pair.one.part").alias("p1"), F.col("pair.two.q").alias("q2"), F.col("pair.two.part").alias("p2"), "cls", "weight", "values")
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
