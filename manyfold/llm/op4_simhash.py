@@ -135,3 +135,61 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     found = _components(docs, id_col, text_col, shingle, docs.columns)
     return found.where("id is null or id = component_id").select("row.*")
+
+
+#: The five primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _sql(seed: int = 42) -> str:
+    """DuckDB SQL for the query's rows: XXH64 step by step in 128-bit arithmetic, all pairs of fingerprints, labels handed on."""
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in PRIMES)
+    whole = f"{1 << 64}::uhugeint"
+
+    def times(a: str, b: str) -> str:
+        return f"(({a}) * {b} % {whole})"
+
+    def turn(x: str, by: int) -> str:  # x is a name: it is used twice
+        return f"({x} * {1 << by}::uhugeint % {whole} + {x} // {1 << 64 - by}::uhugeint)"
+
+    def bind(value: str, name: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def lane(at: str, width: int) -> str:
+        return f"('0x' || {' || '.join(f'substr(hx, 2 * ({at} + {i}) + 1, 2)' for i in reversed(range(width)))})::uhugeint"
+
+    def xor(a: str, b: str) -> str:
+        return f"xor(({a})::ubigint, ({b})::ubigint)::uhugeint"
+
+    def round_(acc: str, given: str, name: str) -> str:
+        return bind(f"(({acc}) + {times(given, p2)}) % {whole}", name, times(turn(name, 31), p1))
+
+    def stripe(k: int, start: int) -> str:
+        return f"list_reduce(range(n // 32), lambda acc, i: {round_('acc', lane(f'i * 32 + {8 * k}', 8), 'r')}, {start % (1 << 64)}::uhugeint) as v{k + 1}"
+
+    starts = (seed + PRIMES[0] + PRIMES[1], seed + PRIMES[1], seed, seed - PRIMES[0])
+    merged = f"({turn('v1', 1)} + {turn('v2', 7)} + {turn('v3', 12)} + {turn('v4', 18)}) % {whole}"
+    for k in range(4):
+        merged = f"({times(xor(merged, round_('0::uhugeint', f'v{k + 1}', f'm{k}')), p1)} + {p4}) % {whole}"
+    eights = f"list_reduce(range((n % 32) // 8), lambda acc, i: {bind(xor('acc', round_('0::uhugeint', lane('n // 32 * 32 + i * 8', 8), 'r')), 'x', f'({times(turn(chr(120), 27), p1)} + {p4}) % {whole}')}, h)"
+    four = f"case when n % 8 >= 4 then {bind(xor('h', times(lane('n // 8 * 8', 4), p1)), 'x', f'({times(turn(chr(120), 23), p2)} + {p3}) % {whole}')} else h end"
+    ones = f"list_reduce(range(n // 4 * 4, n), lambda acc, i: {bind(xor('acc', times(lane('i', 1), p5)), 'x', times(turn(chr(120), 11), p1))}, h)"
+    shift = lambda by: xor("h", f"h // {1 << by}::uhugeint")
+    counts = ", ".join(f"sum(k * ((h >> {i}) & 1)) * 2 > sum(k) as b{i}" for i in range(BITS))
+    fp = " + ".join(f"b{i}::uhugeint * {1 << i}::uhugeint" for i in range(BITS))
+    return f"""with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+  g as (select doc_id, array_to_string(w[i:i + 2], ' ') as gram, count(*)::bigint as k from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0) group by all),
+  t as (select distinct gram, hex(gram) as hx, strlen(gram) as n from g),
+  s as (select *, {', '.join(stripe(k, start) for k, start in enumerate(starts))} from t),
+  h0 as (select gram, hx, n, ((case when n >= 32 then {merged} else {(seed + PRIMES[4]) % (1 << 64)}::uhugeint end) + n::uhugeint) % {whole} as h from s),
+  h1 as (select gram, hx, n, {eights} as h from h0), h2 as (select gram, hx, n, {four} as h from h1), h3 as (select gram, {ones} as h from h2),
+  h4 as (select gram, {times(shift(33), p2)} as h from h3), h5 as (select gram, {times(shift(29), p3)} as h from h4), h6 as (select gram, ({shift(32)})::ubigint as h from h5),
+  b as (select doc_id, {counts} from g join h6 using (gram) group by doc_id), f as (select doc_id, ({fp})::ubigint as fp from b),
+  r as (select doc_id, coalesce(fp, 0::ubigint) as fp from documents left join f using (doc_id)), c as (select distinct fp from r),
+  e as (select a.fp as x, b.fp as y from c a, c b where a.fp <> b.fp and bit_count(xor(a.fp, b.fp)) <= {RADIUS}),
+  reach as (select fp as node, fp as root from c union select e.y, reach.root from reach join e on e.x = reach.node),
+  least as (select root, min(doc_id) as m from reach join r on r.fp = reach.node group by 1)
+  select doc_id, lower(printf('%016x', fp)) as fingerprint, m as component_id from r join least on root = fp"""
+
+
+SQL = _sql()

@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": op3_decontaminate.SQL, "op7_url_filters": op7_urls.SQL, "op8_embedding_near_dedup": op8_embeddings.SQL}
+    return {"op3_benchmark_decontamination": op3_decontaminate.SQL, "op4_simhash_near_dedup": op4_simhash.SQL, "op7_url_filters": op7_urls.SQL, "op8_embedding_near_dedup": op8_embeddings.SQL}
