@@ -77,3 +77,25 @@ def test_mixing_meets_targets(spark, steps):
 
 def test_run_is_all_stages(spark, steps):
     assert sorted(map(str, (tuple(r) for r in corpus_pipeline.run(spark, SF).collect()))) == sorted(map(str, steps[5]))
+
+
+CASES = "doc_id long, text string, lang string, source string, n_chars long, row string, cleaned string, mix_rate string"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_tables(spark, name):
+    """No rows; and null, empty, repeated and very long rows with extra columns of clashing names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    long = "plain words stand in this text and go on " * 4000
+    rows = [(None, "some words", None, None, None, None, None, None), (1, None, "en", "a", None, "r", "c", "m"), (2, "", "en", "a", 0, "r", "c", "m"), (3, long, "en", "b", len(long), "r", "c", "m"), (3, long, "en", "b", len(long), "r", "c", "m"), (4, "x@y.com +1 377 555 0271", "fr", "b", 23, "r", "c", "m")]
+    docs = spark.createDataFrame(rows, CASES)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    found = stage(spark, docs, SF)
+    kept = [c for c in docs.columns if name != "mixing" or c != "mix_rate"]
+    assert found.columns == kept + ["mix_rate", "mix_copies"] * (name == "mixing")
+    ids = [r.doc_id for r in found.collect()]
+    assert set(ids) <= {None, 1, 2, 3, 4} and len(ids) <= len(rows)
+    if name in ("decontaminate", "pii", "mixing"):
+        assert len(ids) == len(rows)
+    if name == "near_dedup":
+        assert sorted(map(str, ids)) == ["1", "3", "3", "4", "None"]
