@@ -40,8 +40,14 @@ def letters(text: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
 
 
+def spread(read: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, as of one row group, is dealt out; others stay as they are read."""
+    cores = read.sparkSession.sparkContext.defaultParallelism
+    return read.repartition(cores) if read.rdd.getNumPartitions() < cores else read
+
+
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), letters(F.col("text")).alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("key"), letters(F.col("text")).alias("seq"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

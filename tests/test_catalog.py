@@ -6,11 +6,12 @@ import os
 import duckdb
 import pytest
 
-from manyfold.catalog import analytics, keyed, reports, sequences, similarity
+from manyfold.catalog import analytics, formats, keyed, reports, sequences, similarity
 
+MODULES = (keyed, sequences, analytics, similarity, reports, formats)
 SF = "/root/testdata/sf0.001"
-QUERIES = {n: q for m in (keyed, sequences, analytics, similarity, reports) for n, q in m.catalog.queries.items()}
-SQL = {n: q for m in (keyed, sequences, analytics, similarity, reports) for n, q in m.catalog.sql.items()}
+QUERIES = {n: q for m in MODULES for n, q in m.catalog.queries.items()}
+SQL = {n: q for m in MODULES for n, q in m.catalog.sql.items()}
 
 
 @pytest.fixture(scope="module")
@@ -39,12 +40,13 @@ def test_matches_sql(spark, duck, name):
     assert rows == sorted(tuple(plain(r[i]) for i in places) for r in told.fetchall())
 
 
-@pytest.mark.parametrize("name", ["filter_shuffle", "summarizeresult", "combine_multihit", "mask_nrepeat", "clusthash_reduced", "clust_greedy", "clust_setcover", "linclust", "taxonomy", "multihitsearch"])
+@pytest.mark.parametrize("name", ["filter_shuffle", "taxonomy", "multihitsearch", "search_profile", "search_targetprofile", "filtera3m", "align2clust", "cluster_reassigned", "pickconsensusrep", "fwbw", "easy_taxonomy", "easy_proteomesearch"])
 def test_runs(spark, name):
-    rows = QUERIES[name](spark, SF).collect()
-    assert rows and len(set(QUERIES[name](spark, SF).columns)) == len(rows[0])
+    found = QUERIES[name](spark, SF)
+    rows = found.collect()
+    assert rows and len(set(found.columns)) == len(rows[0])
 
 
 def test_names_are_unique():
-    parts = [m.catalog.queries for m in (keyed, sequences, analytics, similarity, reports)]
+    parts = [m.catalog.queries for m in MODULES]
     assert sum(map(len, parts)) == len(QUERIES)
