@@ -131,10 +131,10 @@ def add_taxa(table: DataFrame, mapping: DataFrame, lined: DataFrame, column: str
 
 
 def _votes(table: DataFrame, mapping: DataFrame, lined: DataFrame, blocked: tuple[int, ...], column: str, weight: Column) -> DataFrame:
-    """``(key, taxid, ancestors, weight)`` of hits with a known taxon outside blocked subtrees."""
+    """``(key, taxid, ancestors, weight)`` of hits; taxid and ancestors are null without a known taxon outside blocked subtrees."""
     known = mapping.select(F.col("item").alias(column), "taxid").join(lined.select("taxid", "ancestors"), "taxid")
     known = known.where(~F.arrays_overlap("ancestors", F.array(*[F.lit(b).cast("long") for b in blocked]))) if blocked else known
-    return table.select("key", column, weight.cast("double").alias("weight")).join(known, column).select("key", "taxid", "ancestors", "weight")
+    return table.select("key", column, weight.cast("double").alias("weight")).join(known, column, "left").select("key", "taxid", "ancestors", "weight")
 
 
 def _named(found: DataFrame, keys: DataFrame, lined: DataFrame) -> DataFrame:
@@ -148,13 +148,15 @@ def _named(found: DataFrame, keys: DataFrame, lined: DataFrame) -> DataFrame:
 def lowest_common_ancestor(table: DataFrame, mapping: DataFrame, lined: DataFrame, keys: DataFrame | None = None, blocked: tuple[int, ...] = BLOCKED, column: str = "target") -> DataFrame:
     """``(key, taxid, rank, name)``: of each entry's hits, the deepest taxon above all of them.
 
-    Distinct taxa are counted first, so an entry's rows shrink to its taxa before its ancestors are spread.
+    Paths from the root have in common what the first and the last of them in order have in common, so an entry's hits
+    shrink to two paths before they are shuffled.
     """
-    votes = _votes(table, mapping, lined, blocked, column, F.lit(1.0)).select("key", "taxid", "ancestors").distinct()
-    sizes = votes.groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
-    spread = votes.select("key", F.posexplode("ancestors").alias("__depth", "ancestor")).groupBy("key", "ancestor").agg(F.count(F.lit(1)).alias("__hit"), F.max("__depth").alias("__depth"))
-    common = spread.join(sizes, "key").where("__hit = __n").groupBy("key").agg(F.max_by("ancestor", "__depth").alias("taxid"))
-    return _named(common, keys if keys is not None else table, lined)
+    votes = _votes(table, mapping, lined, blocked, column, F.lit(1.0))
+    ends = votes.groupBy("key").agg(F.min("ancestors").alias("__a"), F.max("ancestors").alias("__b"))
+    # two paths of a tree that have parted don't meet again
+    shared = F.size(F.filter(F.zip_with("__a", "__b", lambda x, y: x == y), lambda same: same))
+    common = ends.select("key", F.get("__a", shared - 1).alias("taxid"))
+    return _named(common.where("taxid is not null"), keys if keys is not None else common, lined)
 
 
 def vote_weight(mode: str, evalue: Column, score: Column | None = None) -> Column:
@@ -175,9 +177,11 @@ def majority_ancestor(table: DataFrame, mapping: DataFrame, lined: DataFrame, ma
     whose nearest rank is lowest wins, then the larger share, then the smaller id.
     """
     votes = _votes(table, mapping, lined, blocked, column, weight if weight is not None else F.lit(1.0))
+    # all sums over an entry come from its distinct taxa
     by_taxon = votes.groupBy("key", "taxid", "ancestors").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("c"))
-    totals = by_taxon.groupBy("key").agg(F.sum("w").alias("__all"), F.sum("c").alias("assigned"))
-    spread = by_taxon.select("key", "w", "c", F.posexplode("ancestors").alias("__i", "ancestor"), F.col("ancestors"))
+    known = F.col("taxid").isNotNull()
+    totals = by_taxon.groupBy("key").agg(F.sum(F.when(known, F.col("w"))).alias("__all"), F.sum(F.when(known, F.col("c"))).alias("assigned"), F.sum("c").alias("n"))
+    spread = by_taxon.where(known).select("key", "w", "c", F.posexplode("ancestors").alias("__i", "ancestor"), F.col("ancestors"))
     child = F.get("ancestors", F.col("__i") + 1)
     sums = spread.withColumn("__child", F.coalesce(child, F.lit(0))).drop("ancestors").groupBy("key", "ancestor", "__child").agg(F.sum("w").alias("w"), F.sum("c").alias("c"))
     above = sums.groupBy("key", "ancestor").agg(F.sum("w").alias("w"), F.sum("c").alias("agreeing"), F.count(F.lit(1)).alias("__kids"), F.min("__child").alias("__own"))
@@ -188,9 +192,7 @@ def majority_ancestor(table: DataFrame, mapping: DataFrame, lined: DataFrame, ma
     candidates = above.where("__kids > 1 or __own = 0").join(totals, "key").join(lowest, "ancestor", "left").withColumn("share", F.col("w") / F.col("__all")).where(F.col("share") >= majority)
     best = F.min(F.struct(F.coalesce("__rank", F.lit(TOP)).alias("r"), (-F.col("share")).alias("s"), F.col("ancestor").alias("taxid"), F.col("agreeing").alias("agreeing")))
     chosen = candidates.groupBy("key").agg(best.alias("b")).select("key", "b.taxid", "b.agreeing", (-F.col("b.s")).alias("share"))
-    all_keys = (keys if keys is not None else table).select("key").distinct()
-    counted = all_keys.join(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "left").join(totals.select("key", "assigned"), "key", "left")
-    out = _named(chosen, all_keys, lined).join(counted, "key")
+    out = _named(chosen, keys if keys is not None else totals, lined).join(totals.select("key", "n", "assigned"), "key", "left")
     zero = F.lit(0).cast("long")
     return out.select("key", "taxid", "rank", "name", F.coalesce("n", zero).alias("n"), F.coalesce("assigned", zero).alias("assigned"), F.coalesce("agreeing", zero).alias("agreeing"), F.round(F.coalesce("share", F.lit(0.0)), 2).alias("share"))
 
