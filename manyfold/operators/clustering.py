@@ -125,18 +125,18 @@ def cover_sets(members: DataFrame, clusters: DataFrame, least_share: float = 0.5
     """
     held = materialise(members.join(clusters.select(F.col("member").alias("key"), F.col("rep").alias("cluster")), "key").select("set_id", "cluster").distinct())
     sizes = materialise(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_members")).join(held.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")), "set_id"))
-    result = None
-    left = sizes
+    # one table a round: sets that are taken carry their representative and what they share with it
+    state = sizes.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("rep", members.schema["set_id"].dataType), ("shared", "long"), ("share", "double"))])
     for _ in range(max_rounds):
-        top = left.orderBy(F.desc("n"), "n_members", "set_id").first()
+        top = state.where("rep is null").orderBy(F.desc("n"), "n_members", "set_id").first()
         if top is None:
-            break
+            return state.select("rep", F.col("set_id").alias("member"), "shared", "share")
         own = held.where(F.col("set_id") == top["set_id"]).select("cluster")
-        shared = held.join(own, "cluster", "left_semi").groupBy("set_id").agg(F.count(F.lit(1)).alias("shared"))
-        found = materialise(left.join(shared, "set_id").withColumn("share", F.col("shared") / F.col("n")).where(F.col("share") >= least_share).select(F.lit(top["set_id"]).alias("rep"), F.col("set_id").alias("member"), "shared", "share"))
-        result = found if result is None else materialise(result.unionByName(found))
-        left = materialise(left.join(found, left["set_id"] == found["member"], "left_anti"))
-    return result if result is not None else sizes.select(F.col("set_id").alias("rep"), F.col("set_id").alias("member"), F.col("n").alias("shared"), F.lit(1.0).alias("share"))
+        common = held.join(own, "cluster", "left_semi").groupBy("set_id").agg(F.count(F.lit(1)).alias("__c"))
+        met = state.join(common, "set_id", "left").withColumn("__takes", F.col("rep").isNull() & F.coalesce(F.col("__c") / F.col("n") >= least_share, F.lit(False)))
+        told = {"rep": F.lit(top["set_id"]), "shared": F.col("__c"), "share": F.col("__c") / F.col("n")}
+        state = materialise(met.select("set_id", "n_members", "n", *[F.when(F.col("__takes"), v).otherwise(F.col(c)).alias(c) for c, v in told.items()]))
+    raise RuntimeError(f"not settled in {max_rounds} rounds")
 
 
 def representatives_first(clusters: DataFrame) -> DataFrame:
