@@ -313,7 +313,9 @@ def _(spark, d):
 
 @add("easy_linclust", f"{_cover(LINEAR, 'kept')} select 'd' || c.rep as rep, 'd' || s.member as member from same s join covered c on c.member = s.rep")
 def _(spark, d):
-    path = _written(writers.fasta(seqs(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("header"))))
+    headers = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("header"))
+    # read back, records are numbered in the order of the files; ties go to the smaller number
+    path = _written(writers.fasta(seqs(spark, d), headers).orderBy("key"))
     out = files.easy_linear_cluster(spark, path, _folder(spark))
     parts = F.split("value", "\t")
     return spark.read.text(out["clusters"]).select(parts[0].alias("rep"), parts[1].alias("member"))
