@@ -22,7 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup by five-word shingles of Jaccard 0.8 or more: of each group of near copies the document with the smallest id stays."""
+    """Near-dedup by SimHash with multi-index hashing, verified as five-word shingles of Jaccard 0.8 or more; pairs beyond its reach come
+    from hashed minima.  Of each group of near copies the document with the smallest id stays."""
     return shingle_dedup.keep_one(docs)
 
 

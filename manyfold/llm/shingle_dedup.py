@@ -3,10 +3,13 @@
 This is the pipeline's own stage; the registered SimHash query has settings of its own.  The steps:
 
 1. Texts with equal shingle sets form a class; from here on there is one row a class.
-2. Candidates: a class is put into BANDS buckets, each addressed by ROWS minima of seeded hashes over its shingles.  Two classes
-   of similarity s share none with chance (1 - s ** ROWS) ** BANDS: 5e-6 at 0.8, 6e-14 at 0.9.  (A fingerprint of 64 bits
-   would not do: at 0.8 two of them differ in about 10 bits, and in 19 at times.)
-3. Every member of a bucket is held against its smallest one, by the exact similarity of both texts, and links become components.
+2. Candidates by SimHash: fingerprints of GRAM-word shingles that differ in at most RADIUS bits, by multi-index hashing as in the
+   registered query, with a table for each of SEGMENTS and Hamming balls of radius 1.  Pairs are verified by the exact
+   similarity of both texts, and links become components.
+3. Fingerprints of 64 bits don't reach all pairs: at 0.8 those of two classes differ in 10 bits, and in 19 at times.  So that no link
+   is lost, a class is also put into BANDS buckets, each addressed by ROWS minima of seeded hashes over its shingles.  Two
+   classes of similarity s share none with chance (1 - s ** ROWS) ** BANDS: 5e-6 at 0.8, 6e-14 at 0.9.  Every member of a bucket
+   that step 2 left outside the component of its smallest one is held against that one, in the same way.
 4. A bucket whose members are then in several components holds pairs that weren't compared: each member outside the
    component of the smallest one is held against members of other components.  A large group of near copies is one component
    by then, so its pairs are never made.  Copies that were changed too much to be near copies still share buckets by the
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.op4_simhash import LOWER
+from manyfold.llm.op4_simhash import HOT, LOWER, _turned, fingerprint_of
 from manyfold.operators.graph import connected_components
 from manyfold.operators.storage import materialise
 
@@ -39,6 +42,10 @@ SHINGLE = 5
 #: The least Jaccard similarity of near copies, as a fraction.
 PART, WHOLE = 4, 5
 BANDS, ROWS = 40, 6
+#: Words a shingle of the SimHash fingerprint: the fewer, the closer are the fingerprints of near copies.
+GRAM = 2
+#: Differing bits within which fingerprints are candidates, and the segments (first bit, width) of their tables: of that many bits one segment has at most one.
+RADIUS, SEGMENTS = 5, ((0, 22), (22, 21), (43, 21))
 #: Shingles whose hashes are mixed at once: bounds memory for very long texts.
 CHUNK = 1 << 12
 #: Ranges of hashes by which the shingles of candidate classes are counted.
@@ -87,17 +94,19 @@ def _each(texts: pa.Array) -> Iterator[bytes]:
 
 
 def _signature(text):
-    """A struct column: fingerprint, size and buckets of the shingle set of the string column ``text``."""
+    """A struct column: fingerprint, size and buckets of the shingle set of the string column ``text``, and the text's SimHash."""
 
-    @F.arrow_udf("struct<fp:long,n:long,buckets:array<long>>")
+    @F.arrow_udf("struct<fp:long,n:long,simhash:long,buckets:array<long>>")
     def signature(texts: pa.Array) -> pa.Array:
-        prints, sizes, buckets = [], [], []
+        prints, sizes, simhashes, buckets = [], [], [], []
         for text in _each(texts):
             own = shingles_of(text)
             prints.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+            simhashes.append(fingerprint_of(text, GRAM))
             sizes.append(len(own))
             buckets.append(buckets_of(own))
-        return pa.StructArray.from_arrays([pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["fp", "n", "buckets"])
+        signed = [pa.array(np.array(found, np.uint64).view(np.int64)) for found in (prints, simhashes)]
+        return pa.StructArray.from_arrays([signed[0], pa.array(sizes, pa.int64()), signed[1], pa.array(buckets, pa.list_(pa.int64()))], names=["fp", "n", "simhash", "buckets"])
 
     return signature.asNondeterministic()(text)
 
@@ -165,12 +174,55 @@ def _fits(n: str, m: str, common: str | None = None):
     return F.expr(f"{PART} * ({n} + {m} - {most}) <= {WHOLE} * {most}")
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs ``(src, dst)`` of different fingerprints within ``RADIUS`` bits, by a table for each segment and balls of radius 1.
+
+    prints: one row ``(simhash)`` for each distinct fingerprint.  At a value that more than ``HOT`` of them share, each is paired
+    with the smallest one only.
+    """
+    tables = [F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << SEGMENTS[0][1])) for i, (at, width) in enumerate(SEGMENTS)]
+    entries = prints.select("simhash", F.explode(F.array(*tables)).alias("place"))
+    bits = F.array(*map(F.lit, range(SEGMENTS[0][1])))
+    # of two values one bit apart the one with a zero there asks for the other
+    zero = F.filter(bits, lambda i: F.call_function("getbit", F.col("place"), i) == 0)
+    asked = entries.select("place", F.col("simhash").alias("src")).unionByName(entries.select(F.explode(_turned(F.col("place"), zero)).alias("place"), F.col("simhash").alias("src")))
+    hubs = materialise(entries.groupBy("place").agg(F.count(F.lit(1)).alias("k"), F.min("simhash").alias("dst")).where(F.col("k") > HOT).select("place", "dst"))
+    cold = entries.join(hubs, "place", "left_anti").select("place", F.col("simhash").alias("dst"))
+    met = asked.join(cold, "place").unionByName(asked.join(hubs, "place")).where("src != dst")
+    return met.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS).select("src", "dst")
+
+
+def _fingerprint_candidates(classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of classes whose SimHashes are near; of the classes of one SimHash the smallest stands for all and meets the others."""
+    known = classes.where("rep is not null").select("fp", "n", "simhash")
+    hubs = materialise(known.groupBy("simhash").agg(F.min(F.struct("fp", "n")).alias("hub")).select("simhash", "hub.fp", "hub.n"))
+    theirs = hubs.select(F.col("simhash").alias("dst"), F.col("fp").alias("hub_fp"), F.col("n").alias("hub_n"))
+    near = fingerprint_pairs(hubs.select("simhash")).join(hubs.withColumnRenamed("simhash", "src"), "src").join(theirs, "dst")
+    same = known.join(theirs, known["simhash"] == theirs["dst"]).where("fp != hub_fp")
+    met = near.select("fp", "n", "hub_fp", "hub_n").unionByName(same.select("fp", "n", "hub_fp", "hub_n"))
+    return met.where(_fits("n", "hub_n")).select(F.least("fp", "hub_fp").alias("a"), F.greatest("fp", "hub_fp").alias("b")).distinct()
+
+
+def _parts(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(fp, part)``: the component of each class by ``links`` of ids."""
+    parts = connected_components(links)
+    return materialise(classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("part")))
+
+
+def _placed(shared: DataFrame, of: DataFrame) -> DataFrame:
+    """``shared`` with the component of each class, and whether its bucket's smallest one is in another (``out``)."""
+    placed = shared.join(of, "fp").join(of.select(F.col("fp").alias("hub_fp"), F.col("part").alias("hub_part")), "hub_fp")
+    return placed.withColumn("out", F.col("part") != F.col("hub_part")).drop("hub_part")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``(id, component_id)`` for each row of ``docs``; component_id is the smallest id of the near copies."""
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(held.withColumn("s", _signature("text")).select("id", "text", "s.fp", "s.n", "s.buckets"))
+    signed = materialise(held.withColumn("s", _signature("text")).select("id", "text", "s.fp", "s.n", "s.simhash", "s.buckets"))
     rows = signed.select("id", "fp", "text")
-    classes = materialise(signed.groupBy("fp", "n").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")))
+    classes = materialise(signed.groupBy("fp", "n").agg(F.min("id").alias("rep"), F.min("simhash").alias("simhash"), F.first("buckets").alias("buckets")))
+    links = _verified(materialise(_fingerprint_candidates(classes)), rows, classes)
+    of = _parts(classes, links)
     # what most of the shuffle holds: three numbers an entry, aggregated as numbers
     entries = classes.where("rep is not null").select("fp", "rep", F.explode("buckets").alias("bucket"))
     tops = entries.groupBy("bucket").agg(F.min("rep").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "top")
@@ -179,13 +231,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sized = classes.select("fp", "n")
     shared = met.join(hubs, "bucket").join(sized, "fp").join(sized.select(F.col("fp").alias("hub_fp"), F.col("n").alias("hub_n")), "hub_fp")
     shared = materialise(shared.select("bucket", "fp", "n", "hub_fp", "hub_n"))
-    first = materialise(shared.where("fp != hub_fp").where(_fits("n", "hub_n")).select(F.least("fp", "hub_fp").alias("a"), F.greatest("fp", "hub_fp").alias("b")).distinct())
-    links = _verified(first, rows, classes)
+    first = materialise(_placed(shared, of).where("out").where(_fits("n", "hub_n")).select(F.least("fp", "hub_fp").alias("a"), F.greatest("fp", "hub_fp").alias("b")).distinct())
+    links = links.unionByName(_verified(first, rows, classes))
 
-    parts = connected_components(links)
-    of = materialise(classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("part")))
-    placed = shared.join(of, "fp").join(of.select(F.col("fp").alias("hub_fp"), F.col("part").alias("hub_part")), "hub_fp")
-    placed = materialise(placed.select("bucket", "fp", "n", "part", (F.col("part") != F.col("hub_part")).alias("out"), "hub_fp"))
+    of = _parts(classes, links)
+    placed = materialise(_placed(shared, of).select("bucket", "fp", "n", "part", "out", "hub_fp"))
     left = placed.join(placed.where("out").select("bucket").distinct(), "bucket", "left_semi")
     if not left.isEmpty():
         counts = _shared_counts(left.select("fp").distinct(), rows, classes)
@@ -195,9 +245,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         met = outside.join(counted.where("fp != hub_fp"), "bucket").where("part != p and (not out or a < fp)").where(_fits("n", "m", "least(most, least)")).where(_fits("n", "m", both))
         second = materialise(met.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct())
         links = links.unionByName(_verified(second, rows, classes))
-        parts = connected_components(links)
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("id", "fp").join(named, "fp").select("id", "component_id")
+        of = _parts(classes, links)
+    return rows.select("id", "fp").join(of, "fp").select("id", F.col("part").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

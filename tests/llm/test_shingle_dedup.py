@@ -65,3 +65,61 @@ def test_defined_cases(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, SF)
     assert kept.columns == docs.columns and sorted((str(r.doc_id) for r in kept.collect())) == ["7", "7", "8", "None"]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
+def test_fingerprint_pairs_match_brute_force(spark):
+    """All pairs within the radius, and only those; at values that many share, at least those with the smallest one."""
+    from manyfold.llm.shingle_dedup import HOT, RADIUS, fingerprint_pairs
+
+    rng = random.Random(3)
+
+    def near(p):
+        return sum((1 << b for b in rng.sample(range(64), rng.randint(1, 8))), 0) ^ p
+
+    def found(prints):
+        got = fingerprint_pairs(spark.createDataFrame([(p,) for p in prints], "simhash long")).collect()
+        return {(min(r), max(r)) for r in map(tuple, got)}
+
+    def within(a, b):
+        return ((a ^ b) & (1 << 64) - 1).bit_count() <= RADIUS
+
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    prints = sorted(signed(p) for p in prints | {near(p) for p in prints for _ in range(6)} | {0, (1 << 64) - 1, 31, 1 << 63})
+    want = {(a, b) for i, b in enumerate(prints) for a in prints[:i] if within(a, b)}
+    assert len(want) > 100 and found(prints) == want
+    crowd = sorted({signed(0xABCDE << 44 | low) for low in range(2 * HOT)} | {signed(0xABCDE << 44 | 1 << b) for b in range(40)})
+    got = found(crowd)
+    assert all(within(*p) for p in got) and {p for p in got if p[0] == crowd[0]} == {(crowd[0], b) for b in crowd[1:] if within(crowd[0], b)}
+    assert found([]) == set()
+
+
+def test_near_copies_come_from_fingerprints(spark, monkeypatch):
+    """Whatever fingerprints reach is verified first and linked; minima only add what they leave open."""
+    from manyfold.llm import shingle_dedup
+    from manyfold.llm.op4_simhash import fingerprint_of
+
+    calls, verified = [], shingle_dedup._verified
+
+    def spy(pairs, rows, classes):
+        links = verified(pairs, rows, classes)
+        of = {r.fp: r.rep for r in classes.collect()}
+        calls.append(({frozenset((of[r.a], of[r.b])) for r in pairs.collect()}, {frozenset(r) for r in map(tuple, links.collect())}))
+        return links
+
+    monkeypatch.setattr(shingle_dedup, "_verified", spy)
+    rng = random.Random(1)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows.append((2 * i, " ".join(words), "", ""))
+        for at in rng.sample(range(400), rng.choice([1, 3, 14])):
+            words[at] = "new"
+        rows.append((2 * i + 1, " ".join(words), "", ""))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    assert kept == set(brute(rows))
+    prints = [fingerprint_of(r[1].encode(), shingle_dedup.GRAM) for r in rows]
+    reached = {frozenset((2 * i, 2 * i + 1)) for i in range(40) if (prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= shingle_dedup.RADIUS}
+    linked = {frozenset((2 * i, 2 * i + 1)) for i in range(40)} - {frozenset((i, i ^ 1)) for i in kept if i % 2}
+    assert calls[0][0] >= reached and calls[0][1] == reached & linked and 10 < len(calls[0][1]) < len(linked)
+    assert calls[1][1] == linked - reached and not calls[1][0] & calls[0][1]
