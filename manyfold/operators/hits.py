@@ -207,26 +207,39 @@ def best_per_set(table: DataFrame, sizes: DataFrame, simple: bool = False) -> Da
     return best.select("key", "set_id", F.when(alone, F.col("__first")).otherwise(F.col("target")).alias("target"), F.when(alone, one).otherwise(F.col("__second") - F.col("__s")).alias("log_p"))
 
 
+def _log_tails(orfs: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of k = 1 .. orfs: log of the chance that at least k orfs lie below the threshold, and log of (k - 1)!."""
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, orfs + 1, dtype=np.float64)))))
+    k = np.arange(1, orfs + 1)
+    terms = logs[orfs] - logs[1:] - logs[orfs - k] + k * math.log(threshold) + (orfs - k) * math.log1p(-threshold)
+    return np.logaddexp.accumulate(terms[::-1])[::-1], logs[:-1]
+
+
+def _multihit_values(r: Sequence[float], orfs: int, alpha: float) -> list[float]:
+    """Truncated Fisher p-values of one number of orfs; r sums log(alpha / (orfs + 1)) - log p of the p-values below it.
+
+    A term's factors can be out of a number's range either way while the term isn't, so they are multiplied as logs.
+    """
+    threshold, out, tails = alpha / (orfs + 1), [], None
+    for x in r:
+        if threshold <= 0 or x == 0:
+            out.append(1.0)
+        elif math.isinf(x):
+            out.append(0.0)
+        elif threshold >= 1:
+            out.append(math.exp(-x))
+        else:
+            tails = tails or _log_tails(orfs, threshold)
+            logs = np.arange(orfs) * math.log(x) - tails[1] - x + tails[0]
+            top = logs.max()
+            out.append(float(np.exp(top) * np.exp(logs - top).sum()))
+    return out
+
+
 def _multihit(log_p: Sequence[float], orfs: int, alpha: float) -> float:
     """Truncated Fisher p-value of the log p-values below log(alpha / (orfs + 1))."""
-    threshold = alpha / (orfs + 1)
-    if threshold <= 0:
-        return 1.0
-    log_t = math.log(threshold)
-    r = sum(log_t - p for p in log_p if p < log_t)
-    if r == 0:
-        return 1.0
-    if math.isinf(r):
-        return 0.0
-    if threshold >= 1:
-        return math.exp(-r)
-    log_rest = math.log1p(-threshold)
-    tails, tail = [0.0] * orfs, -math.inf
-    for k in range(orfs, 0, -1):  # log of the chance of at least k of the orfs below the threshold
-        term = math.lgamma(orfs + 1) - math.lgamma(k + 1) - math.lgamma(orfs - k + 1) + k * log_t + (orfs - k) * log_rest
-        tail = np.logaddexp(tail, term)
-        tails[k - 1] = tail
-    return math.exp(-r) * sum(math.exp(i * math.log(r) - math.lgamma(i + 1) + t) for i, t in enumerate(tails))
+    log_t = math.log(alpha / (orfs + 1)) if alpha > 0 else -math.inf
+    return _multihit_values([sum(log_t - p for p in log_p if p < log_t)], orfs, alpha)[0]
 
 
 def combine_sets(table: DataFrame, sizes: DataFrame, n_targets: int, mode: str = "multihit", alpha: float = 1.0) -> DataFrame:
@@ -251,11 +264,16 @@ def combine_sets(table: DataFrame, sizes: DataFrame, n_targets: int, mode: str =
         raise ValueError("mode is multihit, minimum, product or truncated")
 
     @F.arrow_udf("double")
-    def combined(values: pa.Array, orfs: pa.Array) -> pa.Array:
-        return pa.array([_multihit(v, n, alpha) * n_targets for v, n in zip(values.to_pylist(), orfs.to_pylist(), strict=True)], pa.float64())
-
-    # a query set has at most n members, so the list is bounded by the set
-    return grouped.agg(F.array_sort(F.collect_list("log_p")).alias("__v")).select("set_id", "target_set", combined(F.col("__v"), F.col("__n").cast("int")).alias("value"))
+    def combined(over: pa.Array, orfs: pa.Array) -> pa.Array:
+        x, n, out = over.to_numpy(zero_copy_only=False), orfs.to_numpy(zero_copy_only=False), np.zeros(len(over))
+        for size in np.unique(n).tolist():
+            out[n == size] = np.array(_multihit_values(x[n == size].tolist(), size, alpha)) * n_targets
+        return pa.array(out, pa.float64())
+
+    # all that a pair of sets needs of its p-values is one sum
+    least = F.log(F.lit(alpha) / (F.col("__n") + 1)) if alpha > 0 else F.lit(float("-inf"))
+    over = F.sum(F.when(F.col("log_p") < least, least - F.col("log_p")).otherwise(0.0))
+    return grouped.agg(over.alias("__r")).select("set_id", "target_set", combined(F.col("__r"), F.col("__n").cast("int")).alias("value"))
 
 
 def set_matrix(members: DataFrame, table: DataFrame, target_sets: DataFrame) -> DataFrame:

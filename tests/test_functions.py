@@ -140,3 +140,9 @@ def test_domains_match_a_plain_fold(spark):
                     covered |= set(range(low, high))
                     want.add((k, r[1]))
         assert {(r.key, r.pos) for r in hits.pick_domains(table, overlap, coverage, most).collect()} == want
+
+
+def test_multihit_p_values_out_of_range():
+    # the sum of a large set's terms is beyond any double, and so is what it is multiplied by
+    assert hits._multihit([-708.0] * 300, 6000, 1.0) == 0.0
+    assert math.isclose(hits._multihit([-20.0] * 5, 6000, 1.0), 5.425369534496448e-21, rel_tol=1e-9)
