@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -146,3 +147,15 @@ def test_multihit_p_values_out_of_range():
     # the sum of a large set's terms is beyond any double, and so is what it is multiplied by
     assert hits._multihit([-708.0] * 300, 6000, 1.0) == 0.0
     assert math.isclose(hits._multihit([-20.0] * 5, 6000, 1.0), 5.425369534496448e-21, rel_tol=1e-9)
+
+
+def test_majority_doesnt_depend_on_the_order_of_sums(spark):
+    nodes = spark.createDataFrame([(1, 1, "no rank", "root"), (2, 1, "species", "a"), (3, 1, "species", "b")], "taxid long, parent long, rank string, name string")
+    lined = hierarchy.lineages(nodes, hierarchy.closure(nodes))
+    mapping = spark.createDataFrame([(10, 2), (11, 3)], "item long, taxid long")
+    # 0.3 + 0.2 + 0.1 is less than 0.1 + 0.2 + 0.3, as doubles are summed; every entry has the same weights for both taxa
+    orders = list(itertools.permutations((0.1, 0.2, 0.3, 0.7)))
+    rows = [(k, t, w) for k, order in enumerate(orders) for t, ws in ((10, order), (11, orders[0])) for w in ws]
+    table = spark.createDataFrame(rows, "key long, target long, w double").coalesce(1)
+    found = hierarchy.majority_ancestor(table, mapping, lined, weight=F.col("w"), blocked=()).collect()
+    assert len(found) == 24 and {(r.taxid, r.share, r.n, r.agreeing) for r in found} == {(2, 0.5, 8, 4)}
