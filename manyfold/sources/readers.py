@@ -1,4 +1,4 @@
-"""Readers of text formats into tables; all but archives and FASTQ are read in splits by Spark's own text source.
+"""Readers of text formats into tables; all but archives are read in splits by Spark's own text source.
 
 Keys count records from 0 in the order of (file, place in the file), whatever tasks read them.
 """
@@ -30,9 +30,19 @@ def _records(spark: SparkSession, path: str | list[str], separator: str) -> Data
 
 
 def _keyed(records: DataFrame) -> DataFrame:
-    """Records with ``key`` counted from 0."""
-    placed = materialise(records.withColumn("__at", F.struct("file", "at")))
-    return placed.join(dense_ranks(placed.select("__at"), "__at", "__rank"), "__at").withColumn("key", F.col("__rank") - 1).drop("__at", "__rank", "at")
+    """Records with ``key`` counted from 0.
+
+    A block's records stand together in one task, so a record's key is its block's start and its place among the block's; only
+    blocks are gathered and joined, not records.
+    """
+    placed = materialise(records.withColumns({"__block": F.col("at.block"), "__id": F.monotonically_increasing_id()}).drop("at"))
+    blocks = placed.groupBy("file", "__block").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    starts, total = [], 0
+    for b in sorted(blocks, key=lambda b: (b["file"], b["__block"])):
+        starts.append((b["file"], b["__block"], total - b["first"]))
+        total += b["n"]
+    shifts = records.sparkSession.createDataFrame(starts, "file string, __block long, __shift long")
+    return placed.join(F.broadcast(shifts), ["file", "__block"]).withColumn("key", F.col("__id") + F.col("__shift")).drop("__block", "__id", "__shift")
 
 
 @dataclass
@@ -57,10 +67,18 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> SequenceTables:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> SequenceTables:
-    """FASTQ files of four-line records; quality is dropped.  A file is read by one task, as its records can't be told in a split."""
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(r"@([^\n]*)\n([^\n]*)\r?\n\+[^\n]*\n[^\n]*"), F.lit(0))).alias("i", "r"))
-    lines = F.split("r", "\r?\n")
-    return _tables(_keyed(read.select("file", F.col("i").alias("at"), F.substring(lines[0], 2, 1 << 30).alias("header"), F.trim(lines[1]).alias("seq"))))
+    """FASTQ files of four-line records; quality is dropped.
+
+    Files are cut at ``@`` at the start of a line, which can also be where a quality begins: its record has been told by then,
+    and what is cut off has no line that begins with ``+``.
+    """
+    pieces = _records(spark, path, "\n@").where(F.col("value").rlike(r"^[^\n]*\n[^\n]*\n\+"))
+    lines = F.split("value", "\r?\n")
+    made = _keyed(pieces.select("file", "at", lines[0].alias("header"), F.trim(lines[1]).alias("seq")))
+    # nothing is cut off before a file's first record
+    first = made.groupBy("file").agg(F.min("key").alias("__first"))
+    header = F.when((F.col("key") == F.col("__first")) & F.startswith("header", F.lit("@")), F.substring("header", 2, 1 << 30)).otherwise(F.col("header"))
+    return _tables(made.join(F.broadcast(first), "file").withColumn("header", header).drop("__first"))
 
 
 def _tables(made: DataFrame) -> SequenceTables:
@@ -136,8 +154,8 @@ def read_tar(spark: SparkSession, path: str | list[str], include: str = ".*", ex
                 out.append([{"name": m.name, "content": archive.extractfile(m).read()} for m in archive if m.isfile()])
         return pa.array(out, pa.list_(pa.struct([("name", pa.string()), ("content", pa.binary())])))
 
-    read = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(members(F.col("content"))).alias("at", "m"))
-    return _keyed(read.select("file", "at", "m.name", "m.content")).where(F.col("name").rlike(include) & ~F.col("name").rlike(exclude)).select("key", "name", "content")
+    read = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.explode(members(F.col("content"))).alias("m"))
+    return _keyed(read.select("file", F.struct(F.lit(0).cast("long").alias("block")).alias("at"), "m.name", "m.content")).where(F.col("name").rlike(include) & ~F.col("name").rlike(exclude)).select("key", "name", "content")
 
 
 def read_taxonomy(spark: SparkSession, nodes: str, names: str, merged: str | None = None) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from manyfold.operators.storage import materialise
-
 #: Columns of a search report by default.
 DEFAULT_COLUMNS = "query,target,fident,alnlen,mismatch,gapopen,qstart,qend,tstart,tend,evalue,bits"
 #: What the columns of a report are made of, besides those of the hits: a join is made only for what is asked.
@@ -117,41 +115,47 @@ def pssm_lines(scores: DataFrame, letters: str) -> DataFrame:
     return grouped.select("key", "place", F.concat_ws("\t", F.col("place").cast("string"), "best", *[F.coalesce(F.col("m")[c].cast("string"), F.lit("0")) for c in letters]).alias("value"))
 
 
-def tar_members(table: DataFrame, name: str, content: str) -> DataFrame:
-    """``(key, value)``: each entry as the bytes of an archive member; members one behind the other make an archive."""
-
-    @F.arrow_udf("binary")
-    def packed(names: pa.Array, contents: pa.Array) -> pa.Array:
-        out = []
-        for n, raw in zip(names.to_pylist(), contents.to_pylist(), strict=True):
-            data = raw if isinstance(raw, bytes) else (raw or "").encode()
-            info = tarfile.TarInfo(n)
+def _tar_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An archive of the members ``(name, content)`` in rows that all end before a zero byte of it, the last of its header's block."""
+    before = b""
+    for batch in batches:
+        rows = []
+        for name, raw in zip(batch.column(0), batch.column(1), strict=True):
+            content = raw.as_py()
+            data = content if isinstance(content, bytes) else (content or "").encode()
+            info = tarfile.TarInfo(name.as_py())
             info.size = len(data)
-            buffer = io.BytesIO()
-            with tarfile.open(fileobj=buffer, mode="w") as archive:
-                archive.addfile(info, io.BytesIO(data))
-            out.append(buffer.getvalue()[:512 * (1 + -(-len(data) // 512))])
-        return pa.array(out, pa.binary())
-
-    return table.select("key", packed(F.col(name), F.col(content)).alias("value"))
+            rows.append(before + info.tobuf()[:-1])
+            before = data + bytes(-len(data) % 512)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array([before + bytes(1023)], pa.binary())], ["value"])
 
 
 def write_tar(table: DataFrame, path: str, name: str, content: str, members: int = 100_000) -> None:
     """Archives of about ``members`` entries each, ``part-N.tar`` below ``path``, on whatever file system the path names.
 
-    Entries are dealt by a hash of their key.  The driver passes one archive's members on at a time and holds a few of them.
+    Entries are dealt by a hash of their key and written by the tasks, an archive each; the driver names the files.
     """
     spark = table.sparkSession
     parts = max(1, -(-table.count() // members))
-    packed = materialise(tar_members(table, name, content).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))))
+    dealt = table.withColumn("__part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("__part"))
+    stream = dealt.sortWithinPartitions("key").select(name, content).mapInArrow(_tar_stream, "value binary")
+    made = f"{path}/_made"
+    stream.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(made)
     place = spark._jvm.org.apache.hadoop.fs.Path
     files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {int(f.getPath().getName()[5:10]): f.getPath() for f in files.listStatus(place(made)) if f.getPath().getName().startswith("part-")}
     for part in range(parts):
-        out = files.create(place(f"{path}/part-{part:05d}.tar"), True)
-        for row in packed.where(F.col("part") == part).sortWithinPartitions("key").toLocalIterator():
-            out.write(row["value"])
+        own = place(f"{path}/part-{part:05d}.tar")
+        if part in there:
+            files.delete(own, False)
+            if not files.rename(there[part], own):
+                raise OSError(f"{there[part]} can't be renamed to {own}")
+            continue
+        out = files.create(own, True)  # an archive without members
         out.write(bytearray(1024))
         out.close()
+    files.delete(place(made), True)
 
 
 def unpack(table: DataFrame, path: str, name: str = "key", content: str = "seq") -> None:

@@ -1,5 +1,6 @@
 import gzip
 import io
+import os
 import tarfile
 
 from pyspark.sql import functions as F
@@ -117,3 +118,33 @@ def test_models_and_dumps(spark, tmp_path):
     assert sorted(r.seq for r in texts.collect()) == ["AC", "AGC"] and star.count() == 4
     lines = writers.pssm_lines(spark.createDataFrame([(1, 0, "A", 5), (1, 0, "C", -2)], "key long, place long, letter string, score int"), "AC").first()
     assert lines.value == "0\tA\t5\t-2"
+
+
+def test_tar_of_several_archives(spark, tmp_path):
+    # a member of whole blocks, raw bytes, a name beyond a header's field, and no row of any member for the driver
+    rows = [(k, f"d/{'n' * (120 if k == 3 else 1)}{k}", bytes(range(256)) * (2 if k % 2 else 1) + b"\n" * k) for k in range(40)]
+    table = spark.createDataFrame(rows, "key long, name string, content binary")
+    path = str(tmp_path / "out")
+    table.toLocalIterator = None
+    writers.write_tar(table, path, "name", "content", members=10)
+    assert sorted(os.listdir(path)) == [f"part-{i:05d}.tar" for i in range(4)] or {x for x in os.listdir(path) if x.endswith(".tar")} == {f"part-{i:05d}.tar" for i in range(4)}
+    held = {}
+    for x in (tmp_path / "out").glob("*.tar"):
+        assert x.stat().st_size % 512 == 0
+        with tarfile.open(x) as archive:
+            held |= {m.name: archive.extractfile(m).read() for m in archive}
+    assert held == {name: content for _, name, content in rows}
+
+
+def test_fastq_is_read_in_splits(spark, tmp_path):
+    # qualities and names that begin with @, and splits of a few records
+    text = "".join(f"@{'@' if i % 7 == 3 else ''}r{i}\n{'ACGT' * 5}\n+\n{'@' if i % 2 else 'I'}{'@' if i % 3 else 'I'}{'I' * 18}\n" for i in range(2000))
+    (tmp_path / "a.fastq").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = readers.read_fastq(spark, str(tmp_path / "a.fastq"))
+        assert [r.header for r in got.headers.orderBy("key").collect()] == [f"{'@' if i % 7 == 3 else ''}r{i}" for i in range(2000)]
+        assert [r.key for r in got.sequences.where("seq = repeat('ACGT', 5)").orderBy("key").collect()] == list(range(2000))
+        assert got.sequences.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
