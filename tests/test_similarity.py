@@ -300,3 +300,34 @@ def test_cluster_cascade_reaches_its_last_step(spark, tmp_path):
     spark.createDataFrame([(1, "".join(one)), (2, "".join(two)), (3, "".join(other))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.member: r.rep for r in reports.catalog.queries["cluster_cascade"](spark, str(tmp_path)).collect()}
     assert found[1] == found[2] != found[3]
+
+
+def test_pairs_in_bands_are_aligned_as_alone(monkeypatch):
+    draw = random.Random(5)
+    letters = lambda n, alphabet="ABCD": "".join(draw.choice(alphabet) for _ in range(n))
+    pairs = []
+    for k in range(40):
+        q = letters(draw.choice((70, 150, 400)), "AB" if k % 4 == 0 else "ABCDEFGH")
+        t = "".join(draw.choice(("", x + letters(draw.choice((1, 7)), "AB"), "C")) if draw.random() < 0.08 else x for x in q)
+        pairs.append((q, t[k:] + t[:k] if k % 5 == 0 else t))
+    pairs += [("", "A"), ("ABC", "xabcabc"), ("zzABCAB", "ab"), (letters(90), letters(90))]
+    s, p = alignment.Scoring(), alignment.GUMBEL["nucleotide", 5, 2]
+    want = [alignment.align_pair(q, t, s, 9999, p) for q, t in pairs]
+    alone = []
+    monkeypatch.setattr(alignment, "smith_waterman", lambda a, b, *rest, plain=alignment.smith_waterman: alone.append(len(a)) or plain(a, b, *rest))
+    assert alignment.align_pairs([q for q, _ in pairs], [t for _, t in pairs], s, 9999, p) == want
+    assert len(alone) < len(pairs) // 2
+    monkeypatch.setattr(alignment, "BAND_CELLS", 3000)
+    assert alignment.align_pairs([q for q, _ in pairs], [t for _, t in pairs], s, 9999, p) == want
+
+
+def test_easy_cluster_runs_all_steps(monkeypatch):
+    from manyfold.catalog import formats
+
+    given = {}
+    monkeypatch.setattr(formats, "_fasta", lambda *a: "f")
+    monkeypatch.setattr(formats, "_folder", lambda *a: "o")
+    monkeypatch.setattr(formats, "_lines", lambda *a: None)
+    monkeypatch.setattr(formats.files, "easy_cluster", lambda *a, **options: given.update(options) or {"clusters": ""})
+    formats.catalog.queries["easy_cluster"](None, "d")
+    assert given == {}
