@@ -331,3 +331,25 @@ def test_easy_cluster_runs_all_steps(monkeypatch):
     monkeypatch.setattr(formats.files, "easy_cluster", lambda *a, **options: given.update(options) or {"clusters": ""})
     formats.catalog.queries["easy_cluster"](None, "d")
     assert given == {}
+
+
+def test_packed_profiles_are_those_of_letters(spark):
+    draw = random.Random(3)
+    texts = {k: "".join(draw.choice("ABCD") for _ in range(30)) for k in range(1, 4)}
+    texts |= {k: texts[k % 3 + 1][:20] + "".join(draw.choice("ABCD") for _ in range(10)) for k in range(4, 12)} | {12: texts[3], 13: texts[3]}
+    table = spark.createDataFrame(list(texts.items()), "key long, seq string")
+    hits = spark.createDataFrame([(k % 3 + 1, k, k % 4, k % 4 + 19, 0) for k in range(4, 12)] + [(1, k, 2, 21, 0) for k in (12, 13)], "key long, target long, qstart long, qend long, tstart long")
+    background = spark.createDataFrame([("A", 0.4), ("B", 0.3), ("C", 0.2), ("D", 0.1)], "letter string, share double")
+    star = profiles.star_ungapped(hits, table)
+    shares = profiles.frequencies(star, profiles.weights(star))
+    scores = profiles.log_odds(shares, background)
+    packed = profiles.packed_star(hits, table)
+    assert packed.count() < star.select("key", "member").distinct().count()
+    told = lambda t: sorted(map(tuple, t.collect()))
+    assert told(profiles.spread_scores(profiles.packed_profile(packed, background, "scores"), background)) == told(scores)
+    assert told(profiles.packed_profile(packed, background, "best")) == told(profiles.pick_representative(profiles.member_scores(star, scores)))
+    want = {(r.key, r.place): r.neff for r in profiles.diversity(shares).collect()}
+    got = {(r.key, r.place): r.neff for r in profiles.packed_profile(packed, background, "neff").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    codons = table.select("key", F.regexp_replace("seq", "(.)", "$1$1$1").alias("seq"))
+    assert told(profiles.codon_rows_ungapped(hits, codons, table)) == told(profiles.codon_rows(star, codons, table))
