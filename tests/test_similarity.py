@@ -353,3 +353,15 @@ def test_packed_profiles_are_those_of_letters(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
     codons = table.select("key", F.regexp_replace("seq", "(.)", "$1$1$1").alias("seq"))
     assert told(profiles.codon_rows_ungapped(hits, codons, table)) == told(profiles.codon_rows(star, codons, table))
+
+
+def test_many_queries_in_few_targets(spark, monkeypatch):
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("ABCD") for _ in range(60)) for _ in range(30)]
+    many = spark.createDataFrame([*enumerate(texts), (99, None)], "key long, seq string")
+    few = spark.createDataFrame([(k, texts[k][5:40] + texts[k + 1][:9]) for k in range(3)], "key long, seq string")
+    told = lambda: sorted(map(tuple, candidates.shared_diagonals(many, few, 6).collect()))
+    want, asked = told(), []
+    monkeypatch.setattr(candidates, "BROADCAST_WORDS", 500)
+    monkeypatch.setattr(candidates, "wanted_words", lambda *a, plain=candidates.wanted_words: asked.append(1) or plain(*a))
+    assert told() == want and want and asked
